@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes up to which a side may be shipped to every executor on purpose; larger sides are always shuffled.
 BROADCAST_LIMIT = 32 * 1024 * 1024
@@ -36,6 +37,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def width(spark: SparkSession) -> int:
+    """Partitions for work that is heavy for its bytes (texts in Python), which adaptive execution would
+    otherwise gather into a few tasks."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def distinct_wide(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values of one column, spread for heavy work; one shuffle."""
+    return df.select(column).filter(F.col(column).isNotNull()).repartition(width(df.sparkSession), column).distinct()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The scan as it is where it fills the cores; a small file in one block is dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
     return (
