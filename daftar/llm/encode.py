@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daftar.runtime import spread
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words remembered by one worker; the memory is emptied when it is full.
 WORDS = 200_000
@@ -178,4 +180,5 @@ def encode(documents: DataFrame, text: str = "text", path: str = VOCABULARY, ids
         for part in texts:
             yield part.map(known.encode)
 
+    documents = spread(documents)
     return documents.select(*[c for c in documents.columns if c not in (text, ids)], tokens(F.col(text)).alias(ids))

@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daftar.runtime import spread
+
 #: Test hashes (8 bytes each) that may be shipped to every worker.
 TABLE_LIMIT = 2_000_000
 
@@ -122,7 +124,7 @@ def longest(a: list[str], b: list[str], shift: int, substitutions: int) -> int:
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", passage: int = 15, substitutions: int = 0, table_limit: int = TABLE_LIMIT) -> DataFrame:
     """(doc, item, words): each document and item that share a passage of ``passage`` words or more."""
     spark, seeds = documents.sparkSession, masks(passage, substitutions)
-    doc_rows, item_rows = documents.select(doc, text), items.select(item, item_text)
+    doc_rows, item_rows = spread(documents.select(doc, text)), items.select(item, item_text)
     tests = windows(item_rows, item, item_text, seeds)
     only = None
     if tests.select(F.count("*")).first()[0] <= table_limit:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.llm.unify import by_table
-from daftar.runtime import cut
+from daftar.runtime import cut, distinct_wide, width
 
 #: Words that make a name stand for nobody in particular.
 NOBODY = set("family heir heirs seller sellers buyer buyers tenant tenants occupied occupant vacant unknown unnamed tbd none nil na various legal".split())
@@ -44,7 +44,7 @@ MUHAMMAD = set("muhammad mohammad mohd mhd md muhd mohamed mohammed muhammed muh
 #: Urdu letters by sound.
 URDU = {
     "ا": "a", "آ": "a", "ب": "b", "پ": "p", "ت": "t", "ٹ": "t", "ث": "s", "ج": "j", "چ": "ch", "ح": "h", "خ": "k", "د": "d", "ڈ": "d", "ذ": "z", "ر": "r", "ڑ": "r", "ز": "z", "ژ": "z", "س": "s", "ش": "sh",
-    "ص": "s", "ض": "z", "ط": "t", "ظ": "z", "ع": "a", "غ": "g", "ف": "f", "ق": "k", "ک": "k", "گ": "g", "ل": "l", "م": "m", "ن": "n", "ں": "n", "و": "u", "ی": "i", "ے": "i", "ھ": "h", "ہ": "h", "ۃ": "a", "ئ": "i", "ء": "", "ؤ": "u", "أ": "a",
+    "ص": "s", "ض": "z", "ط": "t", "ظ": "z", "ع": "a", "غ": "g", "ف": "f", "ق": "k", "ک": "k", "گ": "g", "ل": "l", "م": "m", "ن": "n", "ں": "n", "و": "u", "ی": "i", "ے": "i", "ھ": "h", "ہ": "h", "ۃ": "t", "ئ": "i", "ء": "", "ؤ": "u", "أ": "a",
 }
 
 _GLUED = regex.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
@@ -54,6 +54,8 @@ _WORD = regex.compile(r"[a-z]+|[؀-ۿ]+")
 def from_urdu(word: str) -> str:
     """Letters by sound; waw is v before or between vowels."""
     out = "".join(URDU.get(c, "") for c in word)
+    if word.endswith("ہ") and len(word) > 2:
+        out = out[:-1] + "a"
     return regex.sub(r"(?:^u(?=[^u])|(?<=[ai])u(?=[ai])|(?<=[^aiu])u(?=[ai]))", "v", out)
 
 
@@ -79,6 +81,8 @@ def read_name(text: str | None, short: dict[str, str] | None = None) -> tuple[st
     if not text.isascii():
         text = by_table(text)
         text = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) or "؀" <= c <= "ۿ"))
+    # Whose child or wife somebody is doesn't say who it is.
+    text = regex.sub(r"(?i)(?<=\w)\s+[sdw]\s?/\s?o\b.*", "", text, flags=regex.DOTALL)
     text = regex.sub(r"(?i)\bm\s?/\s?s\b\.?|\(\s*r\s*\)", " ", text)
     words = _WORD.findall(_GLUED.sub(" ", text).lower())
     if not words or any(w in NOBODY for w in words) or words in (["n", "a"], ["owner"]):
@@ -188,14 +192,14 @@ def neighbours(words: DataFrame, most: int = 2) -> DataFrame:
         out += search(held) if len(held) > 1 else []
         yield pd.DataFrame(out, columns=["word", "other", "edits"])
 
-    shards = words.select("word").mapInPandas(place, "shard string, word string, searched boolean, searches boolean")
-    found = shards.repartition("shard").sortWithinPartitions("shard").mapInPandas(sweep, "word string, other string, edits int")
+    shards = words.select("word").repartition(width(words.sparkSession)).mapInPandas(place, "shard string, word string, searched boolean, searches boolean")
+    found = shards.repartition(width(words.sparkSession), "shard").sortWithinPartitions("shard").mapInPandas(sweep, "word string, other string, edits int")
     both = found.unionAll(found.select(F.col("other").alias("word"), F.col("word").alias("other"), "edits"))
     return both.groupBy("word", "other").agg(F.min("edits").alias("edits"))
 
 
 def canonical_words(words: DataFrame, anchors: DataFrame, ratio: int = 4, few: int = 5) -> DataFrame:
-    """(word, root, given) of each word of ``words`` (word, n). ``anchors``: folded words known to be given names;
+    """(word, root, given, n of the root) of each word of ``words`` (word, n). ``anchors``: folded words known to be given names;
     they keep their spelling. A word needs a neighbour ``ratio`` times as frequent; a long one that is typed
     by ``few`` names or less, any that is more frequent."""
     marked = cut(words.join(anchors.select(F.col("word"), F.lit(True).alias("given")).distinct(), "word", "left").select("word", "n", F.coalesce("given", F.lit(False)).alias("given")))
@@ -207,7 +211,8 @@ def canonical_words(words: DataFrame, anchors: DataFrame, ratio: int = 4, few: i
     long = (F.length("word") >= 7) & (F.length("other") >= 7)
     better = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("word")))
     edges = near.join(a, "word").join(b, "other").filter(~F.col("given") & ((long & better & (F.col("n") <= few)) | (F.col("m") >= ratio * F.col("n"))))
-    rank = F.struct((-F.col("edits")).alias("e"), F.col("m"), F.col("other"))
+    same_bones = F.regexp_replace("word", "[aiuvh]", "") == F.regexp_replace("other", "[aiuvh]", "")
+    rank = F.struct((-F.col("edits")).alias("e"), same_bones.alias("b"), F.col("m"), F.col("other"))
     parents = cut(edges.groupBy("word").agg(F.max_by("other", rank).alias("parent")))
     for _ in range(3):
         up = parents.select(F.col("word").alias("parent"), F.col("parent").alias("next"))
@@ -220,8 +225,9 @@ def canonical_words(words: DataFrame, anchors: DataFrame, ratio: int = 4, few: i
     heard = urdu.select("word", consonants.alias("bones")).filter("bones <> ''").join(roots, "bones").filter(sounds <= F.greatest(F.lit(1), (F.length("parent") / 2).cast("int")))
     spoken = heard.groupBy("word").agg(F.max_by("parent", F.struct("given", -sounds, F.log1p("n"), "parent")).alias("parent"))
     to = parents.unionAll(spoken)
-    out = marked.join(to, "word", "left").select("word", F.coalesce("parent", F.regexp_replace("word", "^~", "")).alias("root"), "n")
-    return out.join(marked.filter("given").select(F.col("word").alias("root"), "given"), "root", "left").select("word", "root", F.coalesce("given", F.lit(False)).alias("given"))
+    out = marked.join(to, "word", "left").select("word", F.coalesce("parent", F.regexp_replace("word", "^~", "")).alias("root"), F.col("n").alias("own"))
+    kinds = marked.select(F.col("word").alias("root"), "given", "n")
+    return out.join(kinds, "root", "left").select("word", "root", F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("n", "own").alias("n"))
 
 
 def canonical_names(names: DataFrame, short_names: DataFrame, column: str = "name") -> DataFrame:
@@ -238,7 +244,7 @@ def canonical_names(names: DataFrame, short_names: DataFrame, column: str = "nam
         for part in parts:
             yield pd.DataFrame([(t, *r) for t in part["t"] if (r := read_name(t, short))], columns=["t", "kind", "words"])
 
-    distinct = names.select(F.col(column).alias("t")).filter("t is not null").distinct()
+    distinct = distinct_wide(names.select(F.col(column).alias("t")), "t")
     parsed = cut(distinct.mapInPandas(read, "t string, kind string, words array<string>"))
     exploded = parsed.select("t", "kind", F.posexplode("words").alias("at", "word"))
     counted = exploded.filter(F.length("word") > 1).groupBy("word").agg(F.count("*").alias("n"))
@@ -248,18 +254,22 @@ def canonical_names(names: DataFrame, short_names: DataFrame, column: str = "nam
     total = parsed.filter("kind = 'person'").count()
     usual = pairs.filter((F.col("n") >= max(8, total / 250)) & (F.col("first") >= 0.6) & (F.length("word") <= 9)).select("word")
     words = cut(canonical_words(counted, anchors.unionAll(usual).distinct()))
-    full = exploded.join(words, "word", "left").groupBy("t", "kind").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("root", "word").alias("root"), F.coalesce("given", F.lit(False)).alias("given")))).alias("w"))
+    full = exploded.join(words, "word", "left").groupBy("t", "kind").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("root", "word").alias("root"), F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
     rest = F.filter("w", lambda x: ~x["given"] & (F.length(x["root"]) > 1))
     givens = F.array_sort(F.array_distinct(F.transform(F.filter("w", lambda x: x["given"]), lambda x: x["root"])))
     person = F.col("kind") == "person"
-    # Without a word of its own, the last word of a name is its surname.
+    # The most usual word that is no given name is the surname, others beside it are given names beyond
+    # recognition and count by their first letter. Without such a word, the last one is the surname.
     none = F.size(rest) == 0
     last = F.element_at("w", -1)["root"]
-    surname = F.when(none & person, last).otherwise(F.array_join(F.transform(rest, lambda x: x["root"]), ""))
+    usual = F.element_at(F.array_sort(F.transform(rest, lambda x: F.struct(x["n"], F.length(x["root"]).alias("l"), x["at"], x["root"]))), -1)
+    odd = F.transform(F.filter(rest, lambda x: x["at"] != usual["at"]), lambda x: F.substring(x["root"], 1, 1))
+    surname = F.when(~person, F.array_join(F.transform(rest, lambda x: x["root"]), "")).when(none, last).otherwise(usual["root"])
     kept = F.when(none & person, F.filter(givens, lambda g: g != last)).otherwise(givens)
     # Muhammad before another given name is as often left out as not.
     kept = F.when((F.size(kept) > 1) | (F.size(F.filter("w", lambda x: F.length(x["root"]) == 1)) > 0), F.filter(kept, lambda g: g != "muhamad")).otherwise(kept)
-    initials = F.array_sort(F.transform(F.filter("w", lambda x: F.length(x["root"]) == 1), lambda x: F.translate(x["root"], "qwceoy", "kvkiui")))
+    typed = F.transform(F.filter("w", lambda x: F.length(x["root"]) == 1), lambda x: F.translate(x["root"], "qwceoy", "kvkiui"))
+    initials = F.array_sort(F.concat(typed, F.when(person & ~none, odd).otherwise(F.array().cast("array<string>"))))
     initials = F.when(F.size(kept) > 0, F.filter(initials, lambda i: i != "m")).otherwise(initials)
     return full.select(
         F.col("t").alias(column), "kind", surname.alias("surname"),

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.llm.encode import PATTERN, VOCABULARY, Vocabulary, vocabulary
+from daftar.runtime import spread
 
 #: Tokens of a word beyond which the word itself is cut.
 LONG_WORD = 32
@@ -156,7 +157,7 @@ def split(documents: DataFrame, key: str = "doc_id", text: str = "text", limit:
     """(key, piece_no, start, end, n_tokens, piece): consecutive pieces of each row's text."""
     if not 0 <= overlap < limit / 4:
         raise ValueError("the overlap must be less than a quarter of the limit")
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = vocabulary(path)

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daftar.runtime import cut
+from daftar.runtime import cut, distinct_wide, width
 
 #: Letters of other alphabets and the Latin letters they can be taken for, the likeliest first.
 LOOK_ALIKES = {
@@ -151,7 +151,7 @@ def canonical_words(names: DataFrame, column: str) -> DataFrame:
                     rows.append((low[:2], low, count, False))
             yield pd.DataFrame(rows, columns=["shard", "word", "n", "odd"])
 
-    placed = cut(counted.mapInPandas(place, "shard string, word string, n bigint, odd boolean"))
+    placed = cut(counted.repartition(width(names.sparkSession)).mapInPandas(place, "shard string, word string, n bigint, odd boolean"))
     # Shards without a disguised word need no trie.
     wanted = placed.filter("odd").select("shard").distinct()
     vocabulary = placed.filter("not odd").join(wanted, "shard", "left_semi")
@@ -180,7 +180,7 @@ def unify(rows: DataFrame, column: str, key: str = "record_id") -> DataFrame:
     """(key, name, canonical, changed) of each row; ``canonical`` has the name's words in consistent form,
     each white space character as a plain space."""
     names = rows.select(key, F.col(column).alias("name"))
-    distinct = cut(names.filter(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("copies")).select("name"))
+    distinct = cut(distinct_wide(names, "name"))
     words = canonical_words(distinct, "name")
     parts = _parts(distinct.filter(F.col("name").rlike(r"[^\x20-\x7E]")), "name")
     rebuilt = parts.join(words, "word", "left").groupBy("name").agg(
