@@ -188,4 +188,4 @@ def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 def round_half_even(value: Column, digits: int) -> Column:
     """Rounding of the exact binary value, ties to even."""
-    return F.format_number(value, "0." + "0" * digits if digits else "0").cast("double")
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits if digits else "0")).cast("double")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daftar.runtime import cut
+from daftar.runtime import cut, tidy
 
 
 def undirected(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -46,7 +46,8 @@ def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
     if not before[0]:
         return edges
     for _ in range(rounds):
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges)), instead_of=edges)
+        tidy(edges.sparkSession)
         now = _state(edges)
         if now == before:
             return edges

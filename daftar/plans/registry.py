@@ -289,8 +289,8 @@ def top_possible(spark, d):
 
 # --- evaluation, graph, aggregates: entities by normalized name -------------------------------------------
 
-_OWNED = f"""{_RECORDS}, named AS (SELECT *, {S.normalize_text('person_name')} AS nt, {S.normalize_text('address')} AS at FROM records), tok AS (SELECT *, {S.joined(S.name_tokens('nt'))} AS norm_name FROM named),
-owned AS (SELECT *, 'ENT:' || norm_name AS entity_id, coalesce({S.normalize_address('at')}, '') AS norm_address, {S.normalize_phone('phone')} AS norm_phone FROM tok WHERE norm_name <> '')"""
+_OWNED = f"""{_RECORDS}, named AS (SELECT *, {S.normalize_text('person_name')} AS nt, {S.normalize_text('address')} AS address_text FROM records), tok AS (SELECT *, {S.joined(S.name_tokens('nt'))} AS norm_name FROM named),
+owned AS (SELECT *, 'ENT:' || norm_name AS entity_id, coalesce({S.normalize_address('address_text')}, '') AS norm_address, {S.normalize_phone('phone')} AS norm_phone FROM tok WHERE norm_name <> '')"""
 
 
 def _owned(spark, d):

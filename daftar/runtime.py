@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there: the lineage is cut, and losing
-    an executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and go on from there: the lineage is cut, losing
+    an executor loses nothing, columns are stored compressed and their sizes are known to the planner.
+
+    ``instead_of``: an earlier result of this function that nothing needs any more; its files are removed.
+    The folder of one run is removed when its session ends; a cluster's cleaning of the folder is its own."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._cut_folder = folder
+    if instead_of is not None and hasattr(instead_of, "_cut_folder"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(instead_of._cut_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop shuffle files that no plan can reach any more; long loops would pile them up."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def width(spark: SparkSession) -> int:
