@@ -20,6 +20,7 @@ an item with fewer words than the passage length is never found.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,26 +28,27 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from daftar.runtime import spread
 
 #: Test hashes (8 bytes each) that may be shipped to every worker.
 TABLE_LIMIT = 2_000_000
 
-_DROP = regex.compile(r"[^\p{L}\p{N}]+")
-_INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}\p{Cc}--[\t\n\v\f\r\x1c-\x1f\x85]]+", flags=regex.V1)
+_DROP = re.compile(r"[^\w\s]|_")
+_ASCII_DROP = {c: None for c in range(128) if not chr(c).isalnum() and not chr(c).isspace()}
 
 
 def words(text: str | None) -> list[str]:
-    """The words of a text in comparable form."""
+    """The words of a text in comparable form: what is neither letter, digit nor white space is dropped, and
+    with it punctuation, marks and invisible characters."""
     if not text:
         return []
-    if not text.isascii():
-        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    return [w for w in (_DROP.sub("", x) for x in text.casefold().split()) if w]
+    if text.isascii():
+        return text.lower().translate(_ASCII_DROP).split()
+    return _DROP.sub("", unicodedata.normalize("NFKC", text).casefold()).split()
 
 
 def masks(passage: int, substitutions: int) -> list[tuple[int, ...]]:
@@ -67,20 +69,12 @@ def masks(passage: int, substitutions: int) -> list[tuple[int, ...]]:
     return seeds
 
 
-@lru_cache(maxsize=1 << 18)
-def _number(word: str) -> int:
-    h = 14695981039346656037
-    for b in word.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 def hashes(of: list[str], mask: tuple[int, ...]) -> np.ndarray:
     """The hash of each window under the mask (as signed 64-bit numbers)."""
     n = len(of) - mask[-1]
     if n <= 0:
         return np.empty(0, np.int64)
-    numbers = np.fromiter(map(_number, of), np.uint64, len(of))
+    numbers = np.fromiter(map(xxh64_intdigest, of), np.uint64, len(of))
     out = np.zeros(n, np.uint64)
     for offset in mask:
         out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[offset : offset + n]
@@ -94,6 +88,7 @@ def windows(table: DataFrame, key: str, text: str, seeds: list[tuple[int, ...]],
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = only.value if only is not None else None
         for part in parts:
+            out = []
             for k, t in zip(part[key], part[text]):
                 w = words(t)
                 for s, mask in enumerate(seeds):
@@ -102,7 +97,10 @@ def windows(table: DataFrame, key: str, text: str, seeds: list[tuple[int, ...]],
                     if wanted is not None and len(h):
                         at = at[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h] if len(wanted) else at[:0]
                     if len(at):
-                        yield pd.DataFrame({"k": k, "seed": s, "at": at, "hash": h[at]})
+                        out.append((k, s, at, h[at]))
+            if out:
+                sizes = [len(x[2]) for x in out]
+                yield pd.DataFrame({"k": np.repeat([x[0] for x in out], sizes), "seed": np.repeat([x[1] for x in out], sizes), "at": np.concatenate([x[2] for x in out]), "hash": np.concatenate([x[3] for x in out])})
 
     rows = table.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
     return rows.mapInPandas(run, f"k {dict(rows.dtypes)[key]}, seed int, at bigint, hash bigint").withColumnRenamed("k", key)

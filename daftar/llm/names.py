@@ -17,16 +17,17 @@ Nothing here is per pair of names: what moves is distinct names, distinct words
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.llm.unify import by_table
-from daftar.runtime import cut, distinct_wide, width
+from daftar.runtime import cut, width
 
 #: Words that make a name stand for nobody in particular.
 NOBODY = set("family heir heirs seller sellers buyer buyers tenant tenants occupied occupant vacant unknown unnamed tbd none nil na various legal".split())
@@ -47,8 +48,11 @@ URDU = {
     "ص": "s", "ض": "z", "ط": "t", "ظ": "z", "ع": "a", "غ": "g", "ف": "f", "ق": "k", "ک": "k", "گ": "g", "ل": "l", "م": "m", "ن": "n", "ں": "n", "و": "u", "ی": "i", "ے": "i", "ھ": "h", "ہ": "h", "ۃ": "t", "ئ": "i", "ء": "", "ؤ": "u", "أ": "a",
 }
 
-_GLUED = regex.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
-_WORD = regex.compile(r"[a-z]+|[؀-ۿ]+")
+_GLUED = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+_WORD = re.compile(r"[a-z]+|[؀-ۿ]+")
+_CHILD = re.compile(r"(?<=\w)\s+[sdw]\s?/\s?o\b.*", re.IGNORECASE | re.DOTALL)
+_FIRM = re.compile(r"\bm\s?/\s?s\b\.?|\(\s*r\s*\)", re.IGNORECASE)
+_ORGANISED, _FORMAL = FORMS | KINDS, FORMS | KINDS | SMALL
 
 
 def from_urdu(word: str) -> str:
@@ -56,53 +60,57 @@ def from_urdu(word: str) -> str:
     out = "".join(URDU.get(c, "") for c in word)
     if word.endswith("ہ") and len(word) > 2:
         out = out[:-1] + "a"
-    return regex.sub(r"(?:^u(?=[^u])|(?<=[ai])u(?=[ai])|(?<=[^aiu])u(?=[ai]))", "v", out)
+    return re.sub(r"(?:^u(?=[^u])|(?<=[ai])u(?=[ai])|(?<=[^aiu])u(?=[ai]))", "v", out)
 
 
 def fold(word: str) -> str:
     """A word as it sounds: spellings that are usual for one sound become equal."""
     for a, b in (("kh", "k"), ("gh", "g"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("ph", "f"), ("ck", "k"), ("q", "k"), ("w", "v"), ("x", "ks"), ("ou", "u"), ("oo", "u"), ("ee", "i"), ("y", "i"), ("ai", "i"), ("ei", "i"), ("e", "i"), ("o", "u")):
         word = word.replace(a, b)
-    word = regex.sub(r"c(?!h)", "k", word)
-    word = regex.sub(r"(.)\1+", r"\1", word)
+    word = re.sub(r"(.)\1+", r"\1", re.sub(r"c(?!h)", "k", word))
     return word[:-1] if word.endswith("h") and len(word) > 3 and word[-2] in "aiu" else word
 
 
 def skeleton(folded: str) -> str:
     """Consonants that Urdu script always writes as such."""
-    return regex.sub("[aiuvh]", "", folded.replace("sh", "S").replace("ch", "C")) or folded
+    return re.sub("[aiuvh]", "", folded.replace("sh", "S").replace("ch", "C")) or folded
+
+
+def _latin(text: str) -> str:
+    """Look-alikes unified, accents gone; Urdu script stays."""
+    text = by_table(text)
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) or "؀" <= c <= "ۿ"))
+
+
+@lru_cache(maxsize=1 << 17)
+def _sound(word: str) -> str:
+    if "؀" <= word[0] <= "ۿ":
+        return "~" + fold(from_urdu(word))
+    return "muhamad" if word in MUHAMMAD else word if len(word) == 1 else fold(word)
 
 
 def read_name(text: str | None, short: dict[str, str] | None = None) -> tuple[str, list[str]] | None:
     """(kind, words): ``org`` with the words of its own name, ``person`` with folded words, initials and Urdu
     words (marked ``~``). None where a name stands for nobody in particular."""
-    if not text or not text.strip():
+    if not text:
         return None
     if not text.isascii():
-        text = by_table(text)
-        text = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) or "؀" <= c <= "ۿ"))
-    # Whose child or wife somebody is doesn't say who it is.
-    text = regex.sub(r"(?i)(?<=\w)\s+[sdw]\s?/\s?o\b.*", "", text, flags=regex.DOTALL)
-    text = regex.sub(r"(?i)\bm\s?/\s?s\b\.?|\(\s*r\s*\)", " ", text)
+        text = _latin(text)
+    if "/" in text:
+        # Whose child or wife somebody is doesn't say who it is.
+        text = _FIRM.sub(" ", _CHILD.sub("", text))
+    elif "(" in text:
+        text = _FIRM.sub(" ", text)
     words = _WORD.findall(_GLUED.sub(" ", text).lower())
-    if not words or any(w in NOBODY for w in words) or words in (["n", "a"], ["owner"]):
+    if not words or not NOBODY.isdisjoint(words) or words == ["n", "a"] or words == ["owner"]:
         return None
-    if any(w in FORMS or w in KINDS for w in words) and not any("؀" <= w[0] for w in words):
-        own = [w for w in words if w not in FORMS and w not in KINDS and w not in SMALL]
-        return ("org", ["".join(own)]) if own else None
-    kept = [w for w in words if w not in TITLES]
-    kept = kept or words
-    out = []
-    for w in kept:
-        if "؀" <= w[0]:
-            out.append("~" + fold(from_urdu(w)))
-        elif w in MUHAMMAD:
-            out.append("muhamad")
-        elif len(w) == 1:
-            out.append(w)
-        else:
-            out.append(fold((short or {}).get(w, w)))
-    return "person", out
+    if not _ORGANISED.isdisjoint(words) and not any(w[0] >= "؀" for w in words):
+        own = "".join([w for w in words if w not in _FORMAL])
+        return ("org", [own]) if own else None
+    kept = [w for w in words if w not in TITLES] or words
+    if short:
+        kept = [short.get(w, w) for w in kept]
+    return "person", [_sound(w) for w in kept]
 
 
 def keys(word: str, most: int = 2) -> list[tuple[str, bool, bool]]:
@@ -230,48 +238,53 @@ def canonical_words(words: DataFrame, anchors: DataFrame, ratio: int = 4, few: i
     return out.join(kinds, "root", "left").select("word", "root", F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("n", "own").alias("n"))
 
 
-def canonical_names(names: DataFrame, short_names: DataFrame, column: str = "name") -> DataFrame:
-    """(column, kind, surname, given, initials) of each distinct name that stands for somebody.
+def familiar(short_names: DataFrame) -> dict[str, str]:
+    """Given name by short form. The table is fixed and small, 56 rows; one of more than 100,000 is refused."""
+    rows = short_names.filter("short_name is not null and given_name is not null").select(F.lower("short_name").alias("s"), F.lower("given_name").alias("g")).distinct().limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("the table of short names isn't small")
+    return {r["s"]: r["g"] for r in sorted(rows)}
 
-    ``given``: canonical given names in order of the alphabet, joined by ``+``; ``surname``: the other words,
-    joined. ``names`` may repeat; how often a word is typed counts by distinct names."""
-    # The table of familiar forms is fixed and small; its folded given names are the anchors.
-    familiar = short_names.filter("short_name is not null and given_name is not null").select(F.lower("short_name").alias("s"), F.lower("given_name").alias("g")).distinct().limit(100_000).collect()
-    short = {r["s"]: r["g"] for r in sorted(familiar)}
-    anchors = names.sparkSession.createDataFrame([(fold(g),) for g in {*short.values(), "muhamad"}], "word string")
 
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([(t, *r) for t in part["t"] if (r := read_name(t, short))], columns=["t", "kind", "words"])
-
-    distinct = distinct_wide(names.select(F.col(column).alias("t")), "t")
-    parsed = cut(distinct.mapInPandas(read, "t string, kind string, words array<string>"))
-    exploded = parsed.select("t", "kind", F.posexplode("words").alias("at", "word"))
-    counted = exploded.filter(F.length("word") > 1).groupBy("word").agg(F.count("*").alias("n"))
-    # Words typed apart: two neighbours that together are a word of their own.
+def vocabulary(read: DataFrame, short: dict[str, str]) -> DataFrame:
+    """(word, root, given, n) of the words of names; ``read``: kind, words."""
+    exploded = read.select("kind", F.posexplode("words").alias("at", "word")).filter(F.length("word") > 1)
+    counted = cut(exploded.groupBy("word").agg(F.count("*").alias("n"), F.avg((F.col("at") == 0).cast("double")).alias("first"), F.max((F.col("kind") == "person").cast("int")).alias("person")))
     # Given names without a familiar form stand first in most names, with many surnames.
-    pairs = exploded.filter((F.length("word") > 1) & ~F.col("word").startswith("~")).groupBy("word").agg(F.count("*").alias("n"), F.avg((F.col("at") == 0).cast("double")).alias("first"))
-    total = parsed.filter("kind = 'person'").count()
-    usual = pairs.filter((F.col("n") >= max(8, total / 250)) & (F.col("first") >= 0.6) & (F.length("word") <= 9)).select("word")
-    words = cut(canonical_words(counted, anchors.unionAll(usual).distinct()))
-    full = exploded.join(words, "word", "left").groupBy("t", "kind").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("root", "word").alias("root"), F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
-    rest = F.filter("w", lambda x: ~x["given"] & (F.length(x["root"]) > 1))
-    givens = F.array_sort(F.array_distinct(F.transform(F.filter("w", lambda x: x["given"]), lambda x: x["root"])))
-    person = F.col("kind") == "person"
-    # The most usual word that is no given name is the surname, others beside it are given names beyond
-    # recognition and count by their first letter. Without such a word, the last one is the surname.
-    none = F.size(rest) == 0
-    last = F.element_at("w", -1)["root"]
-    usual = F.element_at(F.array_sort(F.transform(rest, lambda x: F.struct(x["n"], F.length(x["root"]).alias("l"), x["at"], x["root"]))), -1)
-    odd = F.transform(F.filter(rest, lambda x: x["at"] != usual["at"]), lambda x: F.substring(x["root"], 1, 1))
-    surname = F.when(~person, F.array_join(F.transform(rest, lambda x: x["root"]), "")).when(none, last).otherwise(usual["root"])
-    kept = F.when(none & person, F.filter(givens, lambda g: g != last)).otherwise(givens)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    usual = counted.filter((F.col("person") == 1) & ~F.col("word").startswith("~") & (F.col("n") >= max(8, total / 600)) & (F.col("first") >= 0.6) & (F.length("word") <= 9)).select("word")
+    anchors = read.sparkSession.createDataFrame([(fold(g),) for g in {*short.values(), "muhamad"}], "word string")
+    return canonical_words(counted.select("word", "n"), anchors.unionAll(usual).distinct())
+
+
+def compose(kind: str, words: list[tuple[str, bool, int]]) -> tuple[str, str]:
+    """(surname, form) of a name from its words in order: (root, is a given name, how often typed).
+
+    ``form``: given names in order of the alphabet joined by ``+``, a bar, initials likewise. The most usual
+    word that is no given name is the surname, others beside it are given names beyond recognition and
+    count by their first letter. Without such a word, the last one is the surname."""
+    if kind == "org":
+        return "".join(w for w, _, _ in words), "#org|"
+    initials = [w for w, _, _ in words if len(w) == 1]
+    own = [(n, len(w), at, w) for at, (w, given, n) in enumerate(words) if not given and len(w) > 1]
+    given = {w for w, is_given, _ in words if is_given}
+    if own:
+        chosen = max(own)
+        surname = chosen[3]
+        initials += [x[3][0] for x in own if x is not chosen]
+    elif words:
+        surname = words[-1][0]
+        given.discard(surname)
+        if len(surname) == 1:
+            initials.remove(surname)
+    else:
+        return "", "|"
     # Muhammad before another given name is as often left out as not.
-    kept = F.when((F.size(kept) > 1) | (F.size(F.filter("w", lambda x: F.length(x["root"]) == 1)) > 0), F.filter(kept, lambda g: g != "muhamad")).otherwise(kept)
-    typed = F.transform(F.filter("w", lambda x: F.length(x["root"]) == 1), lambda x: F.translate(x["root"], "qwceoy", "kvkiui"))
-    initials = F.array_sort(F.concat(typed, F.when(person & ~none, odd).otherwise(F.array().cast("array<string>"))))
-    initials = F.when(F.size(kept) > 0, F.filter(initials, lambda i: i != "m")).otherwise(initials)
-    return full.select(
-        F.col("t").alias(column), "kind", surname.alias("surname"),
-        F.when(person, F.array_join(kept, "+")).otherwise("#org").alias("given"), F.when(person, F.array_join(initials, "+")).otherwise("").alias("initials"),
-    )
+    if len(given) > 1 or given and initials:
+        given.discard("muhamad")
+    if not given and initials.count("m") and len(initials) > 1 or given:
+        initials = [i for i in initials if i != "m"]
+    return surname, "+".join(sorted(given)) + "|" + "+".join(sorted(i.translate(_HEARD) for i in initials))
+
+
+_HEARD = str.maketrans("qwceoy", "kvkiui")

@@ -14,6 +14,9 @@ records share costs as many links as records. Names met at an attribute are dist
 bounded by the names that exist, not by rows. Only the answer, the pairs of an owner's records, is as long
 as it has to be.
 
+Records, attributes and texts are compared by 64-bit hashes, which keeps what moves small; two of a billion
+different ones agree by accident with a chance of some percent.
+
 Defined results: names that stand for nobody belong to no owner; unusable phones and places link nothing;
 repeated rows are records like others; extra columns don't matter; nulls link nothing.
 """
@@ -26,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daftar.llm.names import canonical_names
-from daftar.llm.places import place_ids
+from daftar.llm.names import compose, familiar, read_name, vocabulary
+from daftar.llm.places import place_of, places, read_address, shipped, spellings
 from daftar.operators.components import stars, undirected
-from daftar.runtime import cut
+from daftar.runtime import cut, spread, tidy
 
 #: Expected owners beyond the one meant, up to which a name alone says who it is.
 CHANCE = 0.25
@@ -90,81 +93,123 @@ def resolved(lists: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _resolve_once(people: DataFrame) -> DataFrame:
-    """``people`` with the form that each short form stands for, seen from its phone, its place and its family."""
-    out = people
-    rare = people.select("surname", "phone").groupBy("surname").agg(F.approx_count_distinct("phone").alias("phones"))
-    views = {"phone": F.col("phone"), "place": F.col("place"), "family": F.when(F.col("phones") <= 3, F.lit(""))}
-    people = people.join(rare, "surname", "left")
-    for name, at in views.items():
-        met = people.select("surname", at.alias("at"), "form").filter((F.col("at").isNotNull()) & (F.length("surname") > 2)).distinct()
-        lists = met.groupBy("surname", "at").agg(F.collect_list("form").alias("forms")).filter(F.size("forms") > 1)
-        pairs = lists.select("surname", F.col("at").alias(f"at_{name}"), F.explode(F.pandas_udf(resolved, "array<string>")("forms")).alias("pair"))
-        taken = pairs.select("surname", f"at_{name}", F.substring_index("pair", ">", 1).alias("form"), F.substring_index("pair", ">", -1).alias(f"by_{name}"))
-        if name == "family":
-            out = out.join(taken.drop("at_family"), ["surname", "form"], "left")
-        else:
-            out = out.withColumn(f"at_{name}", F.col(name)).join(taken, ["surname", f"at_{name}", "form"], "left").drop(f"at_{name}")
-    return out.withColumn("took", F.coalesce("by_phone", "by_place", "by_family"))
+def described(records: DataFrame, short_names: DataFrame) -> DataFrame:
+    """record_id, node, source, text (hash of the name), phone, kind, place, surname, form of the records that
+    name somebody. Names and addresses are read in one pass; their words are looked up in vocabularies that
+    are shipped where they are small and joined where they aren't."""
+    short = familiar(short_names)
+
+    @F.pandas_udf("kind string, names array<string>, numbers string, words string")
+    def read(names: pd.Series, addresses: pd.Series) -> pd.DataFrame:
+        rows = [(*(read_name(n, short) or (None, None)), *(read_address(a) or (None, None))) for n, a in zip(names, addresses)]
+        return pd.DataFrame(rows, columns=["kind", "names", "numbers", "words"], dtype=object)
+
+    base = spread(records.select("record_id", "source", "name", "address", "phone"))
+    read_rows = base.select("record_id", "source", F.xxhash64("record_id").alias("node"), F.xxhash64("name").alias("text"), phone_key(F.col("phone")).cast("bigint").alias("phone"), read("name", "address").alias("r"))
+    rows = cut(read_rows.select("record_id", "source", "node", "text", "phone", "r.*").filter("kind is not null"))
+    roots = spellings(rows)
+    known = vocabulary(rows.select("kind", F.col("names").alias("words")), short)
+    words, spelt = shipped(known, "word", "root", "given", "n"), shipped(roots, "word", "root")
+    if words is not None and spelt is not None:
+        sent = rows.sparkSession.sparkContext.broadcast((words, spelt))
+
+        @F.pandas_udf("place string, surname string, form string")
+        def look_up(kinds: pd.Series, names: pd.Series, numbers: pd.Series, naming: pd.Series) -> pd.DataFrame:
+            by_word, by_place = sent.value
+            return pd.DataFrame(
+                [(place_of(n, w, by_place) if n else None, *compose(k, [by_word.get(x) or (x, False, 0) for x in name])) for k, name, n, w in zip(kinds, names, numbers, naming)],
+                columns=["place", "surname", "form"], dtype=object,
+            )
+
+        out = rows.withColumn("l", look_up("kind", "names", "numbers", "words")).select("record_id", "source", "node", "text", "phone", "kind", "l.*")
+    else:
+        out = places(joined_forms(rows, known), roots)
+    return out.withColumn("place", F.when(F.col("place").isNotNull(), F.xxhash64("place")))
+
+
+def joined_forms(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """surname and form of each row by joining its words; for vocabularies too large to ship."""
+
+    @F.pandas_udf("surname string, form string")
+    def composed(kinds: pd.Series, words: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([compose(k, [(w["root"], bool(w["given"]), int(w["n"])) for w in ws]) for k, ws in zip(kinds, words)], columns=["surname", "form"], dtype=object)
+
+    exploded = rows.select("node", F.posexplode("names").alias("at", "word")).join(known, "word", "left")
+    listed = exploded.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("root", "word").alias("root"), F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
+    kept = rows.drop("names").join(listed.groupBy("node").agg(F.first("w").alias("w")), "node")
+    return kept.withColumn("c", composed("kind", "w")).select(*[c for c in kept.columns if c != "w"], "c.*")
+
+
+def _blocks(people: DataFrame):
+    """Where names are met: at a phone, a place, and in a rare family; as hashes, in this order."""
+    named = F.length("surname") > 2
+    return F.array(
+        F.when(named & F.col("phone").isNotNull(), F.struct(F.xxhash64(F.lit("p"), "surname", "phone").alias("block"), F.lit(0).alias("k"))),
+        F.when(named & F.col("place").isNotNull(), F.struct(F.xxhash64(F.lit("l"), "surname", "place").alias("block"), F.lit(1).alias("k"))),
+        F.when(named & F.col("family"), F.struct(F.xxhash64(F.lit("f"), "surname").alias("block"), F.lit(2).alias("k"))),
+    )
 
 
 def resolve_forms(people: DataFrame, rounds: int = 3) -> DataFrame:
-    """Spread full names over short forms until nothing changes."""
+    """Spread full names over short forms until nothing changes. ``people``: node, surname, form, phone, place, family.
+
+    Only distinct (block, form) move, and of the people only those whose form is replaced."""
     for _ in range(rounds):
-        people = cut(_resolve_once(people))
-        changed = people.filter("took is not null").limit(1).count()
-        people = people.withColumn("form", F.coalesce("took", "form")).drop("took", "by_phone", "by_place", "by_family")
-        if not changed:
+        at = people.filter("kind = 'person'").select("node", "form", F.explode(F.filter(_blocks(people), lambda x: x.isNotNull())).alias("x")).select("node", "form", "x.block", "x.k")
+        met = at.select("block", "form").distinct()
+        lists = met.groupBy("block").agg(F.collect_list("form").alias("forms")).filter(F.size("forms") > 1)
+        pairs = lists.select("block", F.explode(F.pandas_udf(resolved, "array<string>")("forms")).alias("pair"))
+        taken = cut(pairs.select(F.xxhash64("block", F.substring_index("pair", ">", 1)).alias("key"), F.substring_index("pair", ">", -1).alias("full")))
+        if taken.isEmpty():
             break
+        keyed = at.select("node", "k", F.xxhash64("block", "form").alias("key"))
+        took = keyed.join(taken, "key").groupBy("node").agg(F.min_by("full", F.struct("k", "full")).alias("took"))
+        people = cut(people.join(took, "node", "left").withColumn("form", F.coalesce("took", "form")).drop("took"), instead_of=people)
+        tidy(people.sparkSession)
     return people
 
 
 def owner_ids(records: DataFrame, short_names: DataFrame, chance: float = CHANCE) -> DataFrame:
-    """record_id, source, name, owner, phone, place, form of each record that has an owner."""
-    names = canonical_names(records, short_names)
-    places = place_ids(records, "address")
-    described = records.withColumn("phone", phone_key(F.col("phone"))).join(names, "name").join(places, "address", "left").select(
-        "record_id", "source", "name", "phone", "place", "kind", "surname", F.concat_ws("|", "given", "initials").alias("form"), F.xxhash64("record_id").alias("node")
-    )
-    described = cut(described)
-    people = resolve_forms(described)
-    people = cut(people)
-    # Rarity: owners of a surname by its phones, shares of given names by distinct names.
-    phones = people.groupBy("surname").agg(F.approx_count_distinct("phone").alias("owners"))
-    given = people.filter("kind = 'person'").select("surname", F.split(F.substring_index("form", "|", 1), r"\+").alias("g")).distinct()
-    share = given.select(F.explode("g").alias("w")).filter("w <> ''").groupBy("w").count()
-    forms = people.select("surname", "kind", "form").distinct()
+    """record_id, source, text, owner, phone, place, surname, form of each record that has an owner."""
+    people = cut(described(records, short_names))
+    # Rarity: owners of a surname by its phones, shares of given names by families.
+    phones = cut(people.groupBy("surname").agg(F.approx_count_distinct("phone").alias("owners")))
+    rare = phones.select("surname", (F.col("owners") <= 3).alias("family"))
+    people = cut(people.join(rare, "surname"), instead_of=people)
+    people = resolve_forms(people)
+    given = F.split(F.substring_index("form", "|", 1), r"\+")
+    forms = cut(people.select("surname", "kind", "form").distinct())
+    share = forms.filter("kind = 'person'").select(F.explode(given).alias("w")).filter("w <> ''").groupBy("w").count()
     known = max(1, share.agg(F.sum("count")).first()[0] or 1)
-    weighed = forms.select("surname", "kind", "form", F.explode(F.split(F.substring_index("form", "|", 1), r"\+")).alias("w")).join(share.withColumn("p", F.col("count") / known), "w", "left")
+    weighed = forms.select("surname", "kind", "form", F.explode(given).alias("w")).join(share.withColumn("p", F.col("count") / known), "w", "left")
     expected = weighed.groupBy("surname", "kind", "form").agg(F.exp(F.sum(F.log(F.coalesce("p", F.lit(0.02))))).alias("p")).join(phones, "surname")
-    alone = expected.filter(
-        (F.length("surname") >= 5) & ((F.col("kind") == "org") | (F.col("form").rlike(r"^[^|]+\|$") & (F.greatest(F.col("owners"), F.lit(1)) * F.col("p") <= chance)))
-    ).select("surname", "form", F.lit(True).alias("alone"))
-    people = cut(people.join(alone, ["surname", "form"], "left"))
-    full = F.col("form").rlike(r"^[^|]+\|$") & (F.col("form") != "muhamad|")
+    unique = (F.col("kind") == "org") | (F.col("form").rlike(r"^[^|]+\|$") & (F.greatest(F.col("owners"), F.lit(1)) * F.col("p") <= chance))
+    # Meta-blocking: of the links by name alone only the rare ones stay.
+    alone = expected.filter((F.length("surname") >= 5) & unique).select(F.xxhash64(F.lit("s"), "surname", "form").alias("link"))
+    full = F.col("form").rlike(r"^[^|]+\|$") & (F.col("form") != "muhamad|") & (F.col("kind") == "person")
     named = F.length("surname") >= 3
     links = F.array(
-        F.when(named & F.col("phone").isNotNull(), F.xxhash64(F.lit("sp"), "surname", "form", "phone")),
-        F.when(named & F.col("place").isNotNull(), F.xxhash64(F.lit("sl"), "surname", "form", "place")),
-        F.when(F.col("alone"), F.xxhash64(F.lit("s"), "surname", "form")),
-        F.when((F.col("kind") == "person") & full & F.col("phone").isNotNull(), F.xxhash64(F.lit("p"), "form", "phone")),
-        F.when((F.col("kind") == "person") & full & F.col("place").isNotNull(), F.xxhash64(F.lit("l"), "form", "place", F.substring("surname", 1, 1))),
+        F.when(F.col("phone").isNotNull(), F.when(full, F.xxhash64(F.lit("p"), "form", "phone")).when(named, F.xxhash64(F.lit("sp"), "surname", "form", "phone"))),
+        F.when(F.col("place").isNotNull(), F.when(full, F.xxhash64(F.lit("l"), "form", "place", F.substring("surname", 1, 1))).when(named, F.xxhash64(F.lit("sl"), "surname", "form", "place"))),
     )
-    stars_of = people.select("node", F.explode(F.filter(links, lambda x: x.isNotNull())).alias("link"))
-    first = stars_of.groupBy("link").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    labels = stars(undirected(stars_of.join(first, "link").select("node", "first"), "node", "first"))
-    return people.join(labels, people["node"] == labels["u"], "left").select("record_id", "source", "name", "phone", "place", "surname", "form", F.coalesce("v", "node").alias("owner"))
+    by_attribute = people.select("node", F.explode(F.filter(links, lambda x: x.isNotNull())).alias("link"))
+    by_name = people.select("node", F.xxhash64(F.lit("s"), "surname", "form").alias("link")).join(alone, "link", "left_semi")
+    linked = by_attribute.unionAll(by_name.select("node", "link"))
+    first = linked.groupBy("link").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    labels = stars(undirected(linked.join(first, "link").select("node", "first"), "node", "first"))
+    tidy(people.sparkSession)
+    return people.join(labels, people["node"] == labels["u"], "left").select("record_id", "source", "text", "phone", "place", F.xxhash64("surname", "form").alias("named"), F.coalesce("v", "node").alias("owner"))
 
 
 def owner_pairs(owned: DataFrame, across: bool) -> DataFrame:
     """(left_record_id, right_record_id, confidence): records of one owner, of different sources
     (``across``) or of the same source with different name texts; the smaller id first."""
     a, b = owned.alias("a"), owned.alias("b")
-    kind = F.col("a.source") != F.col("b.source") if across else (F.col("a.source") == F.col("b.source")) & (F.col("a.name") != F.col("b.name"))
+    kind = F.col("a.source") != F.col("b.source") if across else (F.col("a.source") == F.col("b.source")) & (F.col("a.text") != F.col("b.text"))
     pairs = a.join(b, (F.col("a.owner") == F.col("b.owner")) & kind & (F.col("a.record_id") < F.col("b.record_id")))
     # Chances that each agreement is an accident, taken as independent.
     doubt = (
         F.when(F.col("a.phone") == F.col("b.phone"), 0.05).otherwise(1.0) * F.when(F.col("a.place") == F.col("b.place"), 0.1).otherwise(1.0)
-        * F.when((F.col("a.surname") == F.col("b.surname")) & (F.col("a.form") == F.col("b.form")), 0.2).otherwise(0.6)
+        * F.when(F.col("a.named") == F.col("b.named"), 0.2).otherwise(0.6)
     )
     return pairs.select(F.col("a.record_id").alias("left_record_id"), F.col("b.record_id").alias("right_record_id"), F.round(1 - F.coalesce(doubt, F.lit(0.6)), 3).alias("confidence"))

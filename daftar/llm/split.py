@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daftar.llm.encode import PATTERN, VOCABULARY, Vocabulary, vocabulary
+from daftar.llm.encode import VOCABULARY, Vocabulary, vocabulary, words_of
 from daftar.runtime import spread
 
 #: Tokens of a word beyond which the word itself is cut.
@@ -36,16 +36,17 @@ _WORDS = regex.compile(r"\p{L}{3,}")
 
 def atoms(text: str, known: Vocabulary) -> tuple[list[int], list[int], bool]:
     """Ends and token counts of the words of a text (long words in parts), and whether any was cut."""
-    ends, counts, cut = [], [], False
-    for m in PATTERN.finditer(text):
-        word = m.group()
-        ids = known.word(word)
+    ends, counts, cut, at = [], [], False, 0
+    remembered = known.words
+    for word in words_of(text):
+        ids = remembered.get(word) or known.word(word)
         if len(ids) <= LONG_WORD:
-            ends.append(m.end())
+            at += len(word)
+            ends.append(at)
             counts.append(len(ids))
             continue
         cut = True
-        at, held, here = m.start(), bytearray(), 0
+        held, here = bytearray(), 0
         for token in ids:
             held += known.bytes[token]
             here += 1
@@ -59,8 +60,8 @@ def atoms(text: str, known: Vocabulary) -> tuple[list[int], list[int], bool]:
                 counts.append(len(known.read(known.extend(bytes(held), []))))
                 held, here = bytearray(), 0
         if held:
-            part = held.decode("utf-8", "surrogatepass")
-            ends.append(at + len(part))
+            at += len(held.decode("utf-8", "surrogatepass"))
+            ends.append(at)
             counts.append(len(known.read(known.extend(bytes(held), []))))
     return ends, counts, cut
 
@@ -68,27 +69,41 @@ def atoms(text: str, known: Vocabulary) -> tuple[list[int], list[int], bool]:
 def gaps(text: str, block: int) -> dict[int, tuple[float, int]]:
     """Depth of the valley and strength (1 sentence, 2 line, 3 paragraph) of each natural boundary, by its place."""
     spans = [m.span() for m in _UNIT.finditer(text) if m.end() > m.start()]
-    bags = [Counter(w.casefold() for w in _WORDS.findall(text, a, b)) for a, b in spans]
+    low = text.lower() if text.isascii() else "".join(c if len(d := c.lower()) != 1 else d for c in text)
+    bags = [Counter(_WORDS.findall(low, a, b)) for a, b in spans]
     n = len(spans)
     if n < 2:
         return {}
-    before, after = Counter(), Counter()
+    before: dict[str, int] = {}
+    after: dict[str, int] = {}
+    squares = [0, 0]
+    dot = 0
+
+    def move(bag: Counter, side: dict[str, int], other: dict[str, int], which: int, sign: int) -> None:
+        """Add or take the words of a unit, keeping the product and the squares."""
+        nonlocal dot
+        for w, c in bag.items():
+            had, c = side.get(w, 0), sign * c
+            squares[which] += c * (2 * had + c)
+            if w in other:
+                dot += c * other[w]
+            if had + c:
+                side[w] = had + c
+            else:
+                del side[w]
+
+    move(bags[0], before, after, 0, 1)
     for bag in bags[1 : 1 + block]:
-        after.update(bag)
-    before.update(bags[0])
+        move(bag, after, before, 1, 1)
     similar = []
     for g in range(1, n):
-        dot = sum(c * after[w] for w, c in before.items() if w in after)
-        norm = math.sqrt(sum(c * c for c in before.values()) * sum(c * c for c in after.values()))
-        similar.append(dot / norm if norm else 0.0)
-        before.update(bags[g])
+        similar.append(dot / math.sqrt(squares[0] * squares[1]) if squares[0] and squares[1] else 0.0)
+        move(bags[g], after, before, 1, -1)
+        move(bags[g], before, after, 0, 1)
         if g >= block:
-            before.subtract(bags[g - block])
-            before = +before
-        after.subtract(bags[g])
-        after = +after
+            move(bags[g - block], before, after, 0, -1)
         if g + block < n:
-            after.update(bags[g + block])
+            move(bags[g + block], after, before, 1, 1)
     # The depth of a valley is its distance to the nearest peak on either side.
     left, right = similar[:], similar[:]
     for i in range(1, n - 1):
@@ -105,9 +120,10 @@ def gaps(text: str, block: int) -> dict[int, tuple[float, int]]:
 
 def pieces(text: str, known: Vocabulary, limit: int = 512, overlap: int = 64, block: int = 6, least: float = 0.4) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece; a piece is at least ``least`` of the limit where boundaries allow."""
+    if len(text) <= 8 * limit and (total := known.count(text)) <= limit:
+        return [(0, len(text), total)]
     ends, counts, long_words = atoms(text, known)
-    total = sum(counts)
-    if total <= limit:
+    if (total := sum(counts)) <= limit:
         return [(0, len(text), known.count(text) if long_words else total)]
     places = gaps(text, block)
     starts, n, out, first = [0, *ends[:-1]], len(ends), [], 0
