@@ -363,10 +363,10 @@ def graph_summary(spark, d):
     return graph.graph_summary(graph_nodes(spark, d), graph_edges(spark, d))
 
 
-@query(f"WITH {_OWNED}, {_EDGES} SELECT * FROM edges WHERE source = 'ENT:jawad sukusavali'")
+@query(f"WITH {_OWNED}, {_EDGES} SELECT * FROM edges WHERE source = 'ENT:farzana kazmi'")
 def ego_network(spark, d):
     """Edges around one entity."""
-    return graph.ego(graph_edges(spark, d), "ENT:jawad sukusavali")
+    return graph.ego(graph_edges(spark, d), "ENT:farzana kazmi")
 
 
 _AGG = """agg AS (SELECT entity_id, count(*) AS records, max(CASE WHEN declared_income > 0 THEN declared_income END) AS declared_income, coalesce(sum(tax_paid), 0.0) AS tax_paid, count_if(record_type = 'tax') AS tax_records, count_if(record_type = 'vehicle') AS vehicles, count_if(record_type = 'utility') AS meters, count_if(record_type = 'property') AS properties,

@@ -62,7 +62,7 @@ def amount(cell: Column) -> Column:
 
 def _prepared(line: Column) -> Column:
     """Without a final carriage return, doubled quotes inside words replaced by ``PAIR``."""
-    return F.regexp_replace(F.regexp_replace(line, r"\r$", ""), r'(?<=[^,"])""(?=[^,"])', PAIR)
+    return F.regexp_replace(F.regexp_replace(line, r"\r\z", ""), r'(?<=[^,"])""(?=[^,"])', PAIR)
 
 
 def whole_line(fields: int) -> str:
