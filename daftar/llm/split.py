@@ -30,7 +30,8 @@ from daftar.runtime import spread
 
 #: Tokens of a word beyond which the word itself is cut.
 LONG_WORD = 32
-_UNIT = regex.compile(r"(?:[^.!?۔؟\n]|[.!?](?=\S))*+(?:[.!?۔؟]+[\"'”’)\]]*[ \t]*+\n*|\n+|\Z)", flags=regex.V1)
+#: A unit ends after its mark, before the space: words of the vocabulary begin with the space before them.
+_UNIT = regex.compile(r"(?:[^.!?۔؟\n]|[.!?](?=\S))*+(?:[.!?۔؟]+[\"'”’)\]]*(?:[ \t]*+\n+)?|\n+|\Z)", flags=regex.V1)
 _WORDS = regex.compile(r"\p{L}{3,}")
 
 
