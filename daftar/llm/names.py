@@ -7,8 +7,8 @@ all neighbours within the bound. Each word points to its most frequent neighbour
 their root. A name is then the multiset of its canonical words: order doesn't count, which checks all
 permutations of its words at once, and initials stay open until a full name takes them.
 
-Shards: words of up to 7 letters go by their first two and last two letters (up to 5 also by one), words of
-6 and more by three; one edit cannot touch both ends. From 9 letters on two edits are allowed; then the
+Shards: words of 4 to 6 letters go by their first two and last two letters (up to 4 also by one), words of 6
+and more by three; one edit cannot touch both ends. From 9 letters on two edits are allowed; then the
 three letters in the middle, at a shift of up to two, are a third key, and two edits touch two of the
 three keys at most (except where a swap straddles two of them and another edit hits the third).
 
@@ -116,8 +116,8 @@ def read_name(text: str | None, short: dict[str, str] | None = None) -> tuple[st
 def keys(word: str, most: int = 2) -> list[tuple[str, bool, bool]]:
     """(shard, is searched, searches) of a folded word."""
     n, out = len(word), []
-    for size, least, most in ((1, 3, 5), (2, 4, 7), (3, 6, 999)):
-        if least <= n <= most:
+    for size, shortest, longest in ((1, 3, 4), (2, 4, 6), (3, 6, n)):
+        if shortest <= n <= longest:
             out += [(f"p{word[:size]}", True, True), (f"s{word[-size:]}", True, True)]
     if n >= 9 and most > 1:
         c = n // 2 - 1
@@ -167,13 +167,18 @@ def _shifted(mask: dict[str, int], c: str) -> int:
     return mask.get(c, 0)
 
 
-def neighbours(words: DataFrame, most: int = 2) -> DataFrame:
-    """(word, other, edits) of all pairs of distinct words within the bound (``most`` edits from 9 letters on,
-    one below), both ways. ``words``: word."""
+def neighbours(words: DataFrame, most: int = 2, into: DataFrame | None = None) -> DataFrame:
+    """(word, other, edits): for each of ``words`` all words of ``into`` (``words`` themselves by default) within
+    the bound: ``most`` edits from 9 letters on, one below."""
+    wide = width(words.sparkSession)
 
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([(s, w, a, b) for w in part["word"] for s, a, b in keys(w, most)], columns=["shard", "word", "searched", "searches"])
+    def place(searched: bool, searches: bool):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                rows = [(s, w, a and searched, b and searches) for w in part["word"] for s, a, b in keys(w, most) if a and searched or b and searches]
+                yield pd.DataFrame(rows, columns=["shard", "word", "searched", "searches"])
+
+        return run
 
     def search(rows: list[tuple[str, bool, bool]]) -> list[tuple[str, str, int]]:
         trie: dict = {}
@@ -183,6 +188,8 @@ def neighbours(words: DataFrame, most: int = 2) -> DataFrame:
                 for c in w:
                     node = node.setdefault(c, {})
                 node[""] = w
+        if not trie:
+            return []
         return [(w, o, k) for w, _, searches in rows if searches for o, k in traverse(trie, w, bound(len(w), len(w), most) or 1) if o != w and k <= bound(len(w), len(o), most)]
 
     def sweep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,9 +207,14 @@ def neighbours(words: DataFrame, most: int = 2) -> DataFrame:
         out += search(held) if len(held) > 1 else []
         yield pd.DataFrame(out, columns=["word", "other", "edits"])
 
-    shards = words.select("word").repartition(width(words.sparkSession)).mapInPandas(place, "shard string, word string, searched boolean, searches boolean")
-    found = shards.repartition(width(words.sparkSession), "shard").sortWithinPartitions("shard").mapInPandas(sweep, "word string, other string, edits int")
-    both = found.unionAll(found.select(F.col("other").alias("word"), F.col("word").alias("other"), "edits"))
+    schema = "shard string, word string, searched boolean, searches boolean"
+    of = words.select("word").repartition(wide)
+    shards = of.mapInPandas(place(into is None, True), schema)
+    if into is not None:
+        shards = shards.unionAll(into.select("word").repartition(wide).mapInPandas(place(True, False), schema))
+    found = shards.repartition(wide, "shard").sortWithinPartitions("shard").mapInPandas(sweep, "word string, other string, edits int")
+    # The middle key is searched one way only, so both ways are united where a list is joined with itself.
+    both = found.unionAll(found.select(F.col("other").alias("word"), F.col("word").alias("other"), "edits")) if into is None else found
     return both.groupBy("word", "other").agg(F.min("edits").alias("edits"))
 
 
@@ -213,15 +225,19 @@ def canonical_words(words: DataFrame, anchors: DataFrame, ratio: int = 4, few: i
     marked = cut(words.join(anchors.select(F.col("word"), F.lit(True).alias("given")).distinct(), "word", "left").select("word", "n", F.coalesce("given", F.lit(False)).alias("given")))
     latin, urdu = marked.filter(~F.col("word").startswith("~")), marked.filter(F.col("word").startswith("~"))
     # Two edits between rare words are as often two names as one, so they are left to what a place or phone says.
-    near = neighbours(latin.filter(F.length("word") >= 3), 1)
-    a = marked.select("word", "n", "given")
-    b = marked.select(F.col("word").alias("other"), F.col("n").alias("m"), F.col("given").alias("to_given"))
-    long = (F.length("word") >= 7) & (F.length("other") >= 7)
-    better = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("word")))
-    edges = near.join(a, "word").join(b, "other").filter(~F.col("given") & ((long & better & (F.col("n") <= few)) | (F.col("m") >= ratio * F.col("n"))))
+    # First every word looks among usual ones; what finds none there, and is long, looks among its like.
     same_bones = F.regexp_replace("word", "[aiuvh]", "") == F.regexp_replace("other", "[aiuvh]", "")
     rank = F.struct((-F.col("edits")).alias("e"), same_bones.alias("b"), F.col("m"), F.col("other"))
-    parents = cut(edges.groupBy("word").agg(F.max_by("other", rank).alias("parent")))
+    open_words = latin.filter((F.length("word") >= 3) & ~F.col("given"))
+    b = marked.select(F.col("word").alias("other"), F.col("n").alias("m"))
+    usual = latin.filter((F.length("word") >= 3) & (F.col("n") >= ratio))
+    near = neighbours(open_words, 1, usual).join(open_words.select("word", "n"), "word").join(b, "other").filter(F.col("m") >= ratio * F.col("n"))
+    parents = cut(near.groupBy("word").agg(F.max_by("other", rank).alias("parent")))
+    left = cut(latin.filter(F.length("word") >= 7).join(parents, "word", "left_anti"))
+    better = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("word")))
+    few_left = left.filter((F.col("n") <= few) & ~F.col("given"))
+    rare = neighbours(few_left, 1, left).join(few_left.select("word", "n"), "word").join(b, "other").filter(better)
+    parents = parents.unionAll(rare.groupBy("word").agg(F.max_by("other", rank).alias("parent")))
     for _ in range(3):
         up = parents.select(F.col("word").alias("parent"), F.col("parent").alias("next"))
         parents = parents.join(up, "parent", "left").select("word", F.coalesce("next", "parent").alias("parent"))
