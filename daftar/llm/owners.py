@@ -157,7 +157,7 @@ def resolve_forms(people: DataFrame, rounds: int = 3) -> DataFrame:
     for _ in range(rounds):
         at = people.filter("kind = 'person'").select("node", "form", F.explode(F.filter(_blocks(people), lambda x: x.isNotNull())).alias("x")).select("node", "form", "x.block", "x.k")
         met = at.select("block", "form").distinct()
-        lists = met.groupBy("block").agg(F.collect_list("form").alias("forms")).filter(F.size("forms") > 1)
+        lists = met.groupBy("block").agg(F.collect_list("form").alias("forms")).filter((F.size("forms") > 1) & F.exists("forms", lambda f: ~f.rlike(r"^[^|+]+\|$")))
         pairs = lists.select("block", F.explode(F.pandas_udf(resolved, "array<string>")("forms")).alias("pair"))
         taken = cut(pairs.select(F.xxhash64("block", F.substring_index("pair", ">", 1)).alias("key"), F.substring_index("pair", ">", -1).alias("full")))
         if taken.isEmpty():
