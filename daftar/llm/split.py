@@ -17,8 +17,10 @@ within the limit are one piece; pieces cover the text without holes; repeated ro
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -32,22 +34,23 @@ from daftar.runtime import spread
 LONG_WORD = 32
 #: A unit ends after its mark, before the space: words of the vocabulary begin with the space before them.
 _UNIT = regex.compile(r"(?:[^.!?۔؟\n]|[.!?](?=\S))*+(?:[.!?۔؟]+[\"'”’)\]]*(?:[ \t]*+\n+)?|\n+|\Z)", flags=regex.V1)
-_WORDS = regex.compile(r"\p{L}{3,}")
+_WORDS = re.compile(r"[^\W\d_]{3,}")
 
 
 def atoms(text: str, known: Vocabulary) -> tuple[list[int], list[int], bool]:
     """Ends and token counts of the words of a text (long words in parts), and whether any was cut."""
-    ends, counts, cut, at = [], [], False, 0
-    remembered = known.words
-    for word in words_of(text):
-        ids = remembered.get(word) or known.word(word)
-        if len(ids) <= LONG_WORD:
+    words, remembered = words_of(text), known.words
+    sizes = [len(remembered.get(w) or known.word(w)) for w in words]
+    if max(sizes, default=0) <= LONG_WORD:
+        return list(accumulate(map(len, words))), sizes, False
+    ends, counts, at = [], [], 0
+    for word, size in zip(words, sizes):
+        if size <= LONG_WORD:
             at += len(word)
             ends.append(at)
-            counts.append(len(ids))
+            counts.append(size)
             continue
-        cut = True
-        held, here = bytearray(), 0
+        ids, held, here = known.word(word), bytearray(), 0
         for token in ids:
             held += known.bytes[token]
             here += 1
@@ -64,13 +67,15 @@ def atoms(text: str, known: Vocabulary) -> tuple[list[int], list[int], bool]:
             at += len(held.decode("utf-8", "surrogatepass"))
             ends.append(at)
             counts.append(len(known.read(known.extend(bytes(held), []))))
-    return ends, counts, cut
+    return ends, counts, True
 
 
 def gaps(text: str, block: int) -> dict[int, tuple[float, int]]:
     """Depth of the valley and strength (1 sentence, 2 line, 3 paragraph) of each natural boundary, by its place."""
     spans = [m.span() for m in _UNIT.finditer(text) if m.end() > m.start()]
-    low = text.lower() if text.isascii() else "".join(c if len(d := c.lower()) != 1 else d for c in text)
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c if len(d := c.lower()) != 1 else d for c in text)
     bags = [Counter(_WORDS.findall(low, a, b)) for a, b in spans]
     n = len(spans)
     if n < 2:
@@ -121,7 +126,7 @@ def gaps(text: str, block: int) -> dict[int, tuple[float, int]]:
 
 def pieces(text: str, known: Vocabulary, limit: int = 512, overlap: int = 64, block: int = 6, least: float = 0.4) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece; a piece is at least ``least`` of the limit where boundaries allow."""
-    if len(text) <= 8 * limit and (total := known.count(text)) <= limit:
+    if len(text) <= 4 * limit and (total := known.count(text)) <= limit:
         return [(0, len(text), total)]
     ends, counts, long_words = atoms(text, known)
     if (total := sum(counts)) <= limit:
