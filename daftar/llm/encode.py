@@ -44,8 +44,10 @@ class Vocabulary:
         self.bytes = {i: b for b, i in self.ids.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        #: Every end of a token, so that the search backwards knows when to stop.
-        self.ends = {b[k:] for b in self.ids for k in range(len(b))}
+        #: Every beginning of a token, and the states of the automaton that finds tokens by their ends: a state is the
+        #: longest end of what was read that begins a token. States are made when they are first met.
+        self.beginnings = {b[:k] for b in self.ids for k in range(len(b) + 1)}
+        self.states: dict[bytes, tuple[bytes, dict, list]] = {}
         for token in sorted(self.bytes):
             text = self.bytes[token]
             if len(text) == 1:
@@ -86,28 +88,44 @@ class Vocabulary:
 
     def extend(self, text: bytes, last: list[int]) -> list[int]:
         """Append to ``last`` the last token of each prefix of ``text`` that it lacks."""
-        ids, ends, met = self.ids, self.ends, self.met
-        for end in range(len(last) + 1, len(text) + 1):
-            start, found = end - 1, -1
-            while start >= 0 and (part := text[start:end]) in ends:
-                token = ids.get(part)
-                if token is not None:
-                    if start == 0:
-                        found = token
-                        break
-                    pair = (last[start - 1], token)
-                    fits = met.get(pair)
-                    if fits is None:
-                        if len(met) >= WORDS * 5:
-                            met.clear()
-                        fits = met[pair] = self.fits(*pair)
-                    if fits:
-                        found = token
-                        break
-                start -= 1
+        met, done, state = self.met, len(last), self.state(b"")
+        for end, byte in enumerate(text, 1):
+            state = state[1].get(byte) or self.step(state, byte)
+            if end <= done:
+                continue
+            found = -1
+            # The longest token that ends here comes first; only one can be right.
+            for size, token in state[2]:
+                if size == end:
+                    found = token
+                    break
+                pair = (last[end - size - 1], token)
+                fits = met.get(pair)
+                if fits is None:
+                    if len(met) >= WORDS * 5:
+                        met.clear()
+                    fits = met[pair] = self.fits(*pair)
+                if fits:
+                    found = token
+                    break
             last.append(found)
         return last
 
+    def state(self, read: bytes) -> tuple[bytes, dict, list]:
+        """The state ``read``: the bytes, the next states by byte, and (length, id) of the tokens that end it."""
+        known = self.states.get(read)
+        if known is None:
+            ends = [(len(read) - k, self.ids[read[k:]]) for k in range(len(read)) if read[k:] in self.ids]
+            known = self.states[read] = (read, {}, ends)
+        return known
+
+    def step(self, state: tuple[bytes, dict, list], byte: int) -> tuple[bytes, dict, list]:
+        read = state[0] + bytes((byte,))
+        while read not in self.beginnings:
+            read = read[1:]
+        state[1][byte] = following = self.state(read)
+        return following
+
     def read(self, last: list[int]) -> list[int]:
         """The ids of the longest prefix, read backwards."""
         out, end = [], len(last)
