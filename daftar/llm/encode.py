@@ -62,8 +62,8 @@ class Vocabulary:
             else:
                 self.halves[token] = (token, token)
         self.words: dict[str, list[int]] = {}
-        #: Pairs of tokens that were looked at, with the answer.
-        self.met: dict[tuple[int, int], bool] = {}
+        #: Pairs of tokens that were looked at (both ids in one number), with the answer.
+        self.met: dict[int, bool] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the encoding of both tokens' bytes together is just these two."""
@@ -99,12 +99,12 @@ class Vocabulary:
                 if size == end:
                     found = token
                     break
-                pair = (last[end - size - 1], token)
-                fits = met.get(pair)
+                before = last[end - size - 1]
+                fits = met.get(before << 20 | token)
                 if fits is None:
                     if len(met) >= WORDS * 5:
                         met.clear()
-                    fits = met[pair] = self.fits(*pair)
+                    fits = met[before << 20 | token] = self.fits(before, token)
                 if fits:
                     found = token
                     break

@@ -34,7 +34,7 @@ from daftar.runtime import spread
 LONG_WORD = 32
 #: A unit ends after its mark, before the space: words of the vocabulary begin with the space before them.
 _UNIT = regex.compile(r"(?:[^.!?۔؟\n]|[.!?](?=\S))*+(?:[.!?۔؟]+[\"'”’)\]]*(?:[ \t]*+\n+)?|\n+|\Z)", flags=regex.V1)
-_WORDS = re.compile(r"[^\W\d_]{3,}")
+_WORDS = re.compile(r"[^\W\d_]{4,}")
 
 
 def atoms(text: str, known: Vocabulary) -> tuple[list[int], list[int], bool]:
