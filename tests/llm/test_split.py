@@ -39,6 +39,13 @@ def test_cuts_where_the_topic_changes():
     assert len(tax) * 20 - 1 in cuts
 
 
+def test_words_of_three_letters_tell_topics():
+    tax, cow = "The tax fee was due. ", "Our cow ate hay raw. "
+    t = tax * 60 + cow * 60
+    cuts = {b for _, b, _ in split.pieces(t, vocabulary(), 400, 0)}
+    assert len(tax) * 60 - 1 in cuts
+
+
 def test_overlap_is_used():
     t = "One two three four five six seven. " * 200
     got = split.pieces(t, vocabulary(), 128, 24)
