@@ -354,10 +354,16 @@ _USABLE = _OWNED.replace("owned AS (SELECT", "owned_all AS (SELECT") + ", owned
 
 @query(f"WITH {_USABLE}, {_LINKS} SELECT * FROM links")
 def associations(spark, d):
-    """Entities that share an address or a phone, in both directions."""
+    """Entities that share an address with a digit or a mobile number, in both directions; a part of ``associations_all``."""
     return graph.associations(_usable(_owned(spark, d)))
 
 
+@query(f"WITH {_OWNED}, {_LINKS} SELECT * FROM links")
+def associations_all(spark, d):
+    """Entities that share any non-empty address or phone, in both directions."""
+    return graph.associations(_owned(spark, d))
+
+
 @query(f"WITH {_OWNED}, {_EDGES}, {_nodes_sql()} SELECT count(*) AS nodes, count_if(node_type = 'Person') AS persons, count_if(node_type IN ('Vehicle', 'Property', 'Meter')) AS assets, (SELECT count(*) FROM edges) AS edges FROM nodes")
 def graph_summary(spark, d):
     return graph.graph_summary(graph_nodes(spark, d), graph_edges(spark, d))
@@ -389,8 +395,17 @@ def peer_z_scores(spark, d):
 
 @query(f"WITH {_USABLE}, {_AGG}, {_LINKS} SELECT l.source AS entity_id, cast(floor(sum(a.property_value * l.confidence) + 0.5) AS bigint) AS exposure, max(l.confidence) AS strongest, count(*) AS links FROM links l JOIN agg a ON a.entity_id = l.target WHERE a.property_value > 0 GROUP BY 1")
 def neighbour_exposure(spark, d):
-    """Property of the entities that one is associated with, weighted by the links."""
-    of = _usable(_owned(spark, d))
+    """Property of the entities that one is associated with by ``associations``, weighted by the links."""
+    return _exposure(_usable(_owned(spark, d)))
+
+
+@query(f"WITH {_OWNED}, {_AGG}, {_LINKS} SELECT l.source AS entity_id, cast(floor(sum(a.property_value * l.confidence) + 0.5) AS bigint) AS exposure, max(l.confidence) AS strongest, count(*) AS links FROM links l JOIN agg a ON a.entity_id = l.target WHERE a.property_value > 0 GROUP BY 1")
+def neighbour_exposure_all(spark, d):
+    """Property of the entities that one is associated with by ``associations_all``, weighted by the links."""
+    return _exposure(_owned(spark, d))
+
+
+def _exposure(of):
     out = graph.neighbour_exposure(graph.associations(of), graph.entity_aggregate(of), "property_value")
     return out.withColumn("exposure", F.floor(F.col("exposure") + 0.5).cast("bigint"))
 

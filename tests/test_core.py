@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from daftar.functions import text as T
 from daftar.functions.similarity import sequence_score
 from daftar.operators import components, graph, ingest, resolve
+from daftar.plans import registry
 
 
 def one(spark, column, value, kind="string"):
@@ -195,3 +196,18 @@ def test_graph(spark):
 def test_folding_is_by_rule():
     a, b = T.single_folds()
     assert len(a) == len(b) and all(unicodedata.normalize("NFKD", x)[0] == y for x, y in zip(a, b) if not unicodedata.combining(unicodedata.normalize("NFKD", x)[0]))
+
+
+def test_all_shared_values_associate(spark, small):
+    rows = registry._owned(spark, small).select("entity_id", "norm_address", "norm_phone", "property_value").collect()
+    worth, links = Counter(), Counter()
+    for r in rows:
+        worth[r["entity_id"]] += r["property_value"] or 0
+    for column, relation in (("norm_address", "SAME_ADDRESS_AS"), ("norm_phone", "SHARES_PHONE_WITH")):
+        shared = {(r[column], r["entity_id"]) for r in rows if r[column]}
+        links.update((a, b, relation, v) for v, a in shared for w, b in shared if v == w and a != b)
+    known = registry.queries()
+    assert Counter((r["source"], r["target"], r["relation"], r["shared_value"]) for r in known["associations_all"](spark, small).collect()) == links
+    assert any(x[2] == "SAME_ADDRESS_AS" and not any(c.isdigit() for c in x[3]) for x in links)
+    counted = Counter(a for a, b, _, _ in links if worth[b] > 0)
+    assert {r["entity_id"]: r["links"] for r in known["neighbour_exposure_all"](spark, small).collect()} == counted
