@@ -150,23 +150,25 @@ def _blocks(people: DataFrame):
     )
 
 
-def resolve_forms(people: DataFrame, rounds: int = 3) -> DataFrame:
+def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
     """Spread full names over short forms until nothing changes. ``people``: node, surname, form, phone, place, family.
 
-    Only distinct (block, form) move, and of the people only those whose form is replaced."""
+    Only distinct (block, form) move, and of the people only those whose form is replaced, by one with more
+    given names or fewer initials, so it ends. Raises if it isn't stable after ``rounds``."""
     for _ in range(rounds):
         at = people.filter("kind = 'person'").select("node", "form", F.explode(F.filter(_blocks(people), lambda x: x.isNotNull())).alias("x")).select("node", "form", "x.block", "x.k")
         met = at.select("block", "form").distinct()
         lists = met.groupBy("block").agg(F.collect_list("form").alias("forms")).filter((F.size("forms") > 1) & F.exists("forms", lambda f: ~f.rlike(r"^[^|+]+\|$")))
         pairs = lists.select("block", F.explode(F.pandas_udf(resolved, "array<string>")("forms")).alias("pair"))
         taken = cut(pairs.select(F.xxhash64("block", F.substring_index("pair", ">", 1)).alias("key"), F.substring_index("pair", ">", -1).alias("full")))
+        # A pair's short form is some node's in its block, so where there is a pair a form changes.
         if taken.isEmpty():
-            break
-        keyed = at.select("node", "k", F.xxhash64("block", "form").alias("key"))
-        took = keyed.join(taken, "key").groupBy("node").agg(F.min_by("full", F.struct("k", "full")).alias("took"))
-        people = cut(people.join(took, "node", "left").withColumn("form", F.coalesce("took", "form")).drop("took"), instead_of=people)
+            return people
+        keyed = at.select("node", "form", "k", F.xxhash64("block", "form").alias("key"))
+        took = keyed.join(taken, "key").groupBy("node", "form").agg(F.min_by("full", F.struct("k", "full")).alias("took"))
+        people = cut(people.join(took, ["node", "form"], "left").withColumn("form", F.coalesce("took", "form")).drop("took"), instead_of=people)
         tidy(people.sparkSession)
-    return people
+    raise RuntimeError(f"forms of names aren't stable after {rounds} rounds")
 
 
 def owner_ids(records: DataFrame, short_names: DataFrame, chance: float = CHANCE) -> DataFrame:

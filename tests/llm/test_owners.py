@@ -150,3 +150,11 @@ def test_taxpayers_are_found(spark, small):
     pairs = [(a["ntn"] == b["ntn"], a["owner"] == b["owner"]) for i, a in enumerate(rows) for b in rows[i + 1 :]]
     both = pairs.count((True, True))
     assert both > 0.9 * (both + pairs.count((True, False))) and both > 0.9 * (both + pairs.count((False, True)))
+
+
+def test_full_names_spread_along_a_chain(spark):
+    rows = [(i, "sukusavali", "amina|" if i < 7 else "amina+nigat|", (i + 1) // 2, i // 2, "person", False) for i in range(8)]
+    people = spark.createDataFrame(rows, "node long, surname string, form string, phone long, place long, kind string, family boolean")
+    assert {r["form"] for r in owners.resolve_forms(people).collect()} == {"amina+nigat|"}
+    with pytest.raises(RuntimeError, match="stable"):
+        owners.resolve_forms(people, rounds=3)
