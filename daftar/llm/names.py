@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.llm.unify import by_table
-from daftar.runtime import cut, width
+from daftar.runtime import cut, to_roots, width
 
 #: Words that make a name stand for nobody in particular.
 NOBODY = set("family heir heirs seller sellers buyer buyers tenant tenants occupied occupant vacant unknown unnamed tbd none nil na various legal".split())
@@ -237,11 +237,7 @@ def canonical_words(words: DataFrame, anchors: DataFrame, ratio: int = 4, few: i
     better = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("word")))
     few_left = left.filter((F.col("n") <= few) & ~F.col("given"))
     rare = neighbours(few_left, 1, left).join(few_left.select("word", "n"), "word").join(b, "other").filter(better)
-    parents = parents.unionAll(rare.groupBy("word").agg(F.max_by("other", rank).alias("parent")))
-    for _ in range(3):
-        up = parents.select(F.col("word").alias("parent"), F.col("parent").alias("next"))
-        parents = parents.join(up, "parent", "left").select("word", F.coalesce("next", "parent").alias("parent"))
-    parents = cut(parents)
+    parents = to_roots(parents.unionAll(rare.groupBy("word").agg(F.max_by("other", rank).alias("parent"))), "word", "parent")
     # Urdu words: the written consonants find the candidates, the sound and the frequency choose.
     consonants = F.regexp_replace(F.replace(F.replace(F.regexp_replace(F.col("word"), "^~", ""), F.lit("sh"), F.lit("S")), F.lit("ch"), F.lit("C")), "[aiuvh]", "")
     roots = latin.join(parents, "word", "left").filter("parent is null and n > 0").select(F.col("word").alias("parent"), "n", "given", consonants.alias("bones"))

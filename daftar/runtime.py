@@ -56,6 +56,19 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def to_roots(parents: DataFrame, word: str, parent: str) -> DataFrame:
+    """``parents`` (word, parent) without cycles, each parent replaced by the last one that its chain leads to."""
+    parents = cut(parents)
+    while True:
+        up = parents.select(F.col(word).alias(parent), F.col(parent).alias("_next"))
+        joined = parents.join(up, parent, "left").select(word, F.coalesce("_next", parent).alias(parent), F.col("_next").isNotNull().alias("_moved"))
+        moved = cut(joined, instead_of=parents)
+        parents = moved.drop("_moved")
+        parents._cut_folder = moved._cut_folder
+        if moved.filter("_moved").isEmpty():
+            return parents
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for work that is heavy for its bytes (texts in Python), which adaptive execution would
     otherwise gather into a few tasks."""

@@ -158,3 +158,13 @@ def test_full_names_spread_along_a_chain(spark):
     assert {r["form"] for r in owners.resolve_forms(people).collect()} == {"amina+nigat|"}
     with pytest.raises(RuntimeError, match="stable"):
         owners.resolve_forms(people, rounds=3)
+
+
+def test_long_chains_of_spellings_lead_to_their_root(spark):
+    # One more letter differs from word to word.
+    words = ["".join("z" if j < i else c for j, c in enumerate("kurabemidosalin")) for i in range(12)]
+    typed = spark.createDataFrame([(w, 4 ** (12 - i)) for i, w in enumerate(words)], "word string, n long")
+    known = {r["word"]: r["root"] for r in names.canonical_words(typed, typed.limit(0).select("word")).collect()}
+    assert set(known.values()) == {words[0]}
+    roots = {r["word"]: r["root"] for r in places.word_roots(typed, 0.7).collect()}
+    assert len(roots) == 11 and set(roots.values()) == {words[0]}
