@@ -134,10 +134,13 @@ def joined_forms(rows: DataFrame, known: DataFrame) -> DataFrame:
     def composed(kinds: pd.Series, words: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([compose(k, [(w["root"], bool(w["given"]), int(w["n"])) for w in ws]) for k, ws in zip(kinds, words)], columns=["surname", "form"], dtype=object)
 
-    exploded = rows.select("node", F.posexplode("names").alias("at", "word")).join(known, "word", "left")
-    listed = exploded.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("root", "word").alias("root"), F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
-    kept = rows.drop("names").join(listed.groupBy("node").agg(F.first("w").alias("w")), "node")
-    return kept.withColumn("c", composed("kind", "w")).select(*[c for c in kept.columns if c != "w"], "c.*")
+    # By the words and not by the record: ids may repeat or be null.
+    keyed = rows.withColumn("_words", F.xxhash64("names"))
+    distinct = keyed.select("_words", "names").dropDuplicates(["_words"])
+    exploded = distinct.select("_words", F.posexplode("names").alias("at", "word")).join(known, "word", "left")
+    listed = exploded.groupBy("_words").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("root", "word").alias("root"), F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
+    kept = keyed.drop("names").join(listed, "_words")
+    return kept.withColumn("c", composed("kind", "w")).select(*[c for c in kept.columns if c not in ("w", "_words")], "c.*")
 
 
 def _blocks(people: DataFrame):

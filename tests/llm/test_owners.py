@@ -168,3 +168,12 @@ def test_long_chains_of_spellings_lead_to_their_root(spark):
     assert set(known.values()) == {words[0]}
     roots = {r["word"]: r["root"] for r in places.word_roots(typed, 0.7).collect()}
     assert len(roots) == 11 and set(roots.values()) == {words[0]}
+
+
+@pytest.mark.parametrize("shipped", [500_000, 0])
+def test_repeated_and_null_ids_keep_their_forms(spark, short, monkeypatch, shipped):
+    monkeypatch.setattr(places, "SHIPPED", shipped)
+    named = [("t:1", "Jawad Sukusavali"), ("t:1", "Jawad Sukusavali"), (None, "Kiran Sukusavali"), (None, "Jawad Rutasodi")]
+    df = spark.createDataFrame([(i, "tax", n, None, None) for i, n in named], "record_id string, source string, name string, address string, phone string")
+    got = sorted((r["surname"], r["form"]) for r in owners.described(df, short).collect())
+    assert got == [("rutasudi", "javad|"), ("sukusavali", "javad|"), ("sukusavali", "javad|"), ("sukusavali", "kiran|")]
