@@ -174,11 +174,16 @@ def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"forms of names aren't stable after {rounds} rounds")
 
 
+def surname_owners(people: DataFrame) -> DataFrame:
+    """(surname, owners): how many distinct phones a surname has, counted exactly in two combined groupings."""
+    return people.select("surname", "phone").distinct().groupBy("surname").agg(F.count("phone").alias("owners"))
+
+
 def owner_ids(records: DataFrame, short_names: DataFrame, chance: float = CHANCE) -> DataFrame:
     """record_id, source, text, owner, phone, place, surname, form of each record that has an owner."""
     people = cut(described(records, short_names))
     # Rarity: owners of a surname by its phones, shares of given names by families.
-    phones = cut(people.groupBy("surname").agg(F.approx_count_distinct("phone").alias("owners")))
+    phones = cut(surname_owners(people))
     rare = phones.select("surname", (F.col("owners") <= 3).alias("family"))
     people = cut(people.join(rare, "surname"), instead_of=people)
     people = resolve_forms(people)

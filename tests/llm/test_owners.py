@@ -177,3 +177,10 @@ def test_repeated_and_null_ids_keep_their_forms(spark, short, monkeypatch, shipp
     df = spark.createDataFrame([(i, "tax", n, None, None) for i, n in named], "record_id string, source string, name string, address string, phone string")
     got = sorted((r["surname"], r["form"]) for r in owners.described(df, short).collect())
     assert got == [("rutasudi", "javad|"), ("sukusavali", "javad|"), ("sukusavali", "javad|"), ("sukusavali", "kiran|")]
+
+
+def test_owners_of_a_surname_are_counted_exactly(spark):
+    of = {f"s{i}": 150 * i for i in range(12)}
+    rows = [(s, p) for s, n in of.items() for p in (*range(n), *range(n // 2), None)]
+    people = spark.createDataFrame(rows, "surname string, phone long")
+    assert {r["surname"]: r["owners"] for r in owners.surname_owners(people).collect()} == of
