@@ -67,9 +67,10 @@ def _score(name: Column, address: Column, f: dict[str, Column]) -> Column:
     return 100 * T.clamp(total, 0.0, 1.0)
 
 
-def compare(prints: DataFrame, pairs: DataFrame, exact: bool = True) -> DataFrame:
+def compare(prints: DataFrame, pairs: DataFrame, exact: bool = True, rejects: bool = False) -> DataFrame:
     """left_id, right_id, confidence, decision and the similarities of each pair.
 
+    Scores of pairs that a bound makes rejects are lower than they are, unless ``rejects`` asks for them in full.
     ``exact=False`` leaves the character comparison out (its term is 0), which SQL can follow."""
     described = prints.select("record_id", "norm_name", "norm_address", "phone", "city", *name_profile(F.col("norm_name")))
     side = lambda s: described.select(*[F.col(c).alias(f"{s}_{c}") for c in described.columns])
@@ -87,10 +88,13 @@ def compare(prints: DataFrame, pairs: DataFrame, exact: bool = True) -> DataFram
     soft = F.greatest(0.92 * F.col("phonetic"), 0.9 * F.col("ngram"))
     name_of = lambda seq: F.greatest(F.when(named, F.greatest(F.col("token_jaccard"), seq, soft)).otherwise(0.0), soft)
     words, place = (F.col("l_sorted_aliases"), F.col("r_sorted_aliases")), (F.col("l_norm_address"), F.col("r_norm_address"))
-    if exact:
+    compared = {"seq": sequence_score(*words), "address_score": sequence_score(*place)}
+    if exact and rejects:
+        scored = features.withColumns(compared)
+    elif exact:
         bound = _score(name_of(sequence_bound(*words)), sequence_bound(*place), f)
         open_pairs = features.filter(bound >= 57.95)
-        scored = open_pairs.withColumns({"seq": sequence_score(*words), "address_score": sequence_score(*place)}).unionByName(
+        scored = open_pairs.withColumns(compared).unionByName(
             features.filter(~(bound >= 57.95)).withColumns({"seq": F.lit(0.0), "address_score": F.lit(0.0)})
         )
     else:

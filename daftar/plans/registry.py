@@ -227,7 +227,7 @@ def blocking_stats(spark, d):
 def pair_scores(spark, d):
     """Confidence, decision and reasons of every candidate pair."""
     prints = _prints(spark, d)
-    scored = resolve.reasons(resolve.compare(prints, resolve.candidate_pairs(prints)))
+    scored = resolve.reasons(resolve.compare(prints, resolve.candidate_pairs(prints), rejects=True))
     return scored.select("left_id", "right_id", "confidence", "decision", F.round("name_score", 3).alias("name_score"), F.round("address_score", 3).alias("address_score"), F.array_join("reasons", "; ").alias("reasons"))
 
 

@@ -211,3 +211,12 @@ def test_all_shared_values_associate(spark, small):
     assert any(x[2] == "SAME_ADDRESS_AS" and not any(c.isdigit() for c in x[3]) for x in links)
     counted = Counter(a for a, b, _, _ in links if worth[b] > 0)
     assert {r["entity_id"]: r["links"] for r in known["neighbour_exposure_all"](spark, small).collect()} == counted
+
+
+def test_rejects_are_scored_in_full(spark, monkeypatch):
+    rows = [(i, n, "House 5 Street 2 Lahore", None, "d", "tax") for i, n in (("x:1", "Bo"), ("x:2", "Kamran Inshulkumar Gulkhanzada"))]
+    prints = resolve.fingerprints(spark.createDataFrame(rows, "record_id string, person_name string, address string, phone string, source_dataset string, source_kind string"))
+    monkeypatch.setattr(registry, "_prints", lambda *_: prints)
+    monkeypatch.setattr(resolve, "candidate_pairs", lambda _: spark.createDataFrame([("x:1", "x:2")], "left_id string, right_id string"))
+    (got,) = registry.queries()["pair_scores"](spark, "").collect()
+    assert (got["decision"], got["address_score"]) == ("reject", 1.0) and "addresses agree" in got["reasons"]
