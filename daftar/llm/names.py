@@ -35,10 +35,12 @@ NOBODY = set("family heir heirs seller sellers buyer buyers tenant tenants occup
 TITLES = set("mr mrs ms miss mst dr engr eng er ch chaudhry haji hajj mian sardar syed syeda sayed sayeda begum bibi col capt maj brig retd prof justice adv advocate hafiz".split())
 #: Words of organisations, legal forms first.
 FORMS = set("pvt ltd limited private company regd ho head office unit".split())
-KINDS = set(
-    "mills mls mill flour flr textile textiles tex steel steels works wks motors motor mtrs traders trading trdrs welfare welf trust school public pub "
-    "services svcs engineering engg builders bldrs developers pharma pharm pharmaceuticals enterprises industries foundation".split()
-)
+TRADES = (
+    "mills mls mill", "flour flr", "textile textiles tex", "steel steels", "works wks", "motors motor mtrs", "traders trading trdrs", "welfare welf", "trust tr", "school", "public pub", "services svcs", "engineering engg eng",
+    "builders bldrs", "developers dev", "pharma pharm pharmaceuticals", "enterprises", "industries", "foundation", "sons",
+)
+TRADE = {w: "#" + t.split()[0] for t in TRADES for w in t.split()}
+KINDS = set(TRADE) - {"tr", "dev", "eng", "sons"}
 SMALL = set("and co tr dev eng p sons".split())
 #: Spellings of one given name that are too short or too far for a distance.
 MUHAMMAD = set("muhammad mohammad mohd mhd md muhd mohamed mohammed muhammed muhamad mohamad".split())
@@ -76,41 +78,69 @@ def skeleton(folded: str) -> str:
     return re.sub("[aiuvh]", "", folded.replace("sh", "S").replace("ch", "C")) or folded
 
 
-def _latin(text: str) -> str:
+@lru_cache(maxsize=1 << 16)
+def _latin(word: str) -> str:
     """Look-alikes unified, accents gone; Urdu script stays."""
-    text = by_table(text)
-    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) or "؀" <= c <= "ۿ"))
+    word = by_table(word)
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c) or "؀" <= c <= "ۿ"))
 
 
-@lru_cache(maxsize=1 << 17)
 def _sound(word: str) -> str:
     if "؀" <= word[0] <= "ۿ":
         return "~" + fold(from_urdu(word))
     return "muhamad" if word in MUHAMMAD else word if len(word) == 1 else fold(word)
 
 
-def read_name(text: str | None, short: dict[str, str] | None = None) -> tuple[str, list[str]] | None:
-    """(kind, words): ``org`` with the words of its own name, ``person`` with folded words, initials and Urdu
-    words (marked ``~``). None where a name stands for nobody in particular."""
+class _Sounds(dict):
+    """What a word is: its sound, or what it does to a name (``!`` nobody, ``#`` an organisation, ``.`` a title). Made when
+    first met; emptied when full. Familiar forms sound as the given name that they stand for."""
+
+    def __init__(self, short: tuple[tuple[str, str], ...]) -> None:
+        super().__init__()
+        self.short = dict(short)
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 1 << 17:
+            self.clear()
+        out = "!" if word in NOBODY else "#" if word in _ORGANISED else "." if word in TITLES else _sound(self.short.get(word, word))
+        self[word] = out
+        return out
+
+
+@lru_cache(maxsize=4)
+def sounds_of(short: tuple[tuple[str, str], ...] = ()) -> _Sounds:
+    """One table for each list of familiar forms, kept by a worker."""
+    return _Sounds(short)
+
+
+def read_name(text: str | None, table: _Sounds | None = None) -> tuple[str, list[str]] | None:
+    """(kind, words): ``org`` with the words of its own name joined and its words of trade (marked ``#``), ``person``
+    with folded words, initials and Urdu words (marked ``~``). None where a name stands for nobody in particular."""
     if not text:
         return None
     if not text.isascii():
-        text = _latin(text)
+        text = " ".join([w if w.isascii() else _latin(w) for w in text.split(" ")])
     if "/" in text:
         # Whose child or wife somebody is doesn't say who it is.
         text = _FIRM.sub(" ", _CHILD.sub("", text))
     elif "(" in text:
         text = _FIRM.sub(" ", text)
-    words = _WORD.findall(_GLUED.sub(" ", text).lower())
-    if not words or not NOBODY.isdisjoint(words) or words == ["n", "a"] or words == ["owner"]:
+    if not (text.istitle() or text.isupper() or text.islower()):
+        text = _GLUED.sub(" ", text)
+    words = _WORD.findall(text.lower())
+    if not words or words == ["n", "a"] or words == ["owner"]:
         return None
-    if not _ORGANISED.isdisjoint(words) and not any(w[0] >= "؀" for w in words):
+    table = sounds_of() if table is None else table
+    sounds = [table[w] for w in words]
+    if min(sounds) > "A":
+        return "person", sounds
+    # Words that stand for nobody do so beside a person's name; in that of an organisation they are a part of it.
+    if "#" in sounds and not any(w[0] >= "؀" for w in words):
         own = "".join([w for w in words if w not in _FORMAL])
-        return ("org", [own]) if own else None
-    kept = [w for w in words if w not in TITLES] or words
-    if short:
-        kept = [short.get(w, w) for w in kept]
-    return "person", [_sound(w) for w in kept]
+        return ("org", [own, *sorted({TRADE[w] for w in words if w in TRADE})]) if own else None
+    if "!" in sounds:
+        return None
+    return "person", [s for s in sounds if s > "A"] or [_sound(w) for w in words]
 
 
 def keys(word: str, most: int = 2) -> list[tuple[str, bool, bool]]:
@@ -259,8 +289,8 @@ def familiar(short_names: DataFrame) -> dict[str, str]:
 
 
 def vocabulary(read: DataFrame, short: dict[str, str]) -> DataFrame:
-    """(word, root, given, n) of the words of names; ``read``: kind, words."""
-    exploded = read.select("kind", F.posexplode("words").alias("at", "word")).filter(F.length("word") > 1)
+    """(word, root, given, n) of the words of names; ``read``: kind, names (words with a space between them)."""
+    exploded = read.select("kind", F.posexplode(F.split("names", " ")).alias("at", "word")).filter(F.length("word") > 1)
     counted = cut(exploded.groupBy("word").agg(F.count("*").alias("n"), F.avg((F.col("at") == 0).cast("double")).alias("first"), F.max((F.col("kind") == "person").cast("int")).alias("person")))
     # Given names without a familiar form stand first in most names, with many surnames.
     total = counted.agg(F.sum("n")).first()[0] or 0
@@ -274,9 +304,10 @@ def compose(kind: str, words: list[tuple[str, bool, int]]) -> tuple[str, str]:
 
     ``form``: given names in order of the alphabet joined by ``+``, a bar, initials likewise. The most usual
     word that is no given name is the surname, others beside it are given names beyond recognition and
-    count by their first letter. Without such a word, the last one is the surname."""
+    count by their first letter. Without such a word, the last one is the surname. The words of trade of an
+    organisation stand in place of given names."""
     if kind == "org":
-        return "".join(w for w, _, _ in words), "#org|"
+        return words[0][0], ("+".join(w for w, _, _ in words[1:]) or "#org") + "|"
     initials = [w for w, _, _ in words if len(w) == 1]
     own = [(n, len(w), at, w) for at, (w, given, n) in enumerate(words) if not given and len(w) > 1]
     given = {w for w, is_given, _ in words if is_given}

@@ -29,13 +29,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daftar.llm.names import compose, familiar, read_name, vocabulary
-from daftar.llm.places import place_of, places, read_address, shipped, spellings
+from daftar.llm.names import compose, familiar, read_name, sounds_of, vocabulary
+from daftar.llm.places import NOWHERE, joined_places, placed_rows, read_address, rowwise, shipped, spellings
 from daftar.operators.components import stars, undirected
-from daftar.runtime import cut, spread, tidy
+from daftar.runtime import cut, spread
 
 #: Expected owners beyond the one meant, up to which a name alone says who it is.
 CHANCE = 0.25
+#: Given names that a population is taken to have beyond those in the data, so that few rows don't look crowded.
+UNSEEN = 100
+#: What is read of a name that stands for nobody.
+NOBODY = (None,) * 5
+#: Phones up to which a surname is one family, whose short names may be told apart without a phone or place.
+FAMILY = 3
 #: Columns of the four tables.
 CIVIC = {
     "fbr_tax_records_complex": ("full_name", "reported_address", "phone_number"),
@@ -57,74 +63,66 @@ def phone_key(cell):
     return F.when(digits.rlike("^3[0-9]{9}$") & ~digits.rlike(r"^3(\d)\1{8}$"), digits)
 
 
-def stands_for(part: str, full: str) -> bool:
-    """Whether given names and initials (``a+b|i+j``) can be a shorter form of a full one."""
-    (g, i), (h, j) = ([set(filter(None, x.split("+"))) for x in part.split("|")], [set(filter(None, x.split("+"))) for x in full.split("|")])
-    if part == full or j or len(h) < len(g) + len(i) or not g <= h:
-        return False
-    letters = [x[0] for x in h - g]
-    for x in part.split("|")[1].split("+"):
-        if x:
-            if x not in letters:
-                return False
-            letters.remove(x)
-    return True
-
-
-def resolved(lists: pd.Series) -> pd.Series:
-    """For each list of distinct forms: which short form stands for exactly one longest form, as ``short>long``."""
-    out = []
-    for forms in lists:
-        forms, rows = sorted(forms), []
-        by_letter: dict[str, list[str]] = {}
-        for f in forms:
-            if f.endswith("|"):
-                for x in {g[0] for g in f[:-1].split("+") if g}:
-                    by_letter.setdefault(x, []).append(f)
-        for p in forms:
-            known, initials = p.split("|")
-            some = (known or initials)[:1]
-            fits = [f for f in by_letter.get(some, ()) if stands_for(p, f)]
-            # Of forms that contain each other the longest counts.
-            top = [f for f in fits if not any(f != o and stands_for(f, o) for o in fits)]
-            if len(top) == 1:
-                rows.append(f"{p}>{top[0]}")
-        out.append(rows)
-    return pd.Series(out)
+def shorter(full):
+    """All shorter forms of a full one (``a+b|``), as a column: each given name stays, leaves its first letter, or
+    is left out, but not all of them may stay or be left out."""
+    start = F.array(F.struct(F.array().cast("array<string>").alias("g"), F.array().cast("array<string>").alias("i")))
+    names = F.split(F.substring_index(full, "|", 1), r"\+")
+
+    def longer(forms, name):
+        stay = F.transform(forms, lambda x: F.struct(F.array_append(x["g"], name).alias("g"), x["i"].alias("i")))
+        letter = F.transform(forms, lambda x: F.struct(x["g"].alias("g"), F.array_append(x["i"], heard(F.substring(name, 1, 1))).alias("i")))
+        return F.concat(stay, letter, forms)
+
+    forms = F.aggregate(names, start, longer)
+    texts = F.transform(forms, lambda x: F.concat(F.array_join(F.array_sort(x["g"]), "+"), F.lit("|"), F.array_join(F.array_sort(x["i"]), "+")))
+    texts = F.when(full.startswith("#"), F.array_append(texts, F.lit("#org|"))).otherwise(texts)
+    return F.array_distinct(F.filter(texts, lambda t: (t != "|") & (t != full)))
+
+
+def heard(letter):
+    """An initial by its sound, as ``compose`` writes it."""
+    return F.translate(letter, "qwceoy", "kvkiui")
 
 
 def described(records: DataFrame, short_names: DataFrame) -> DataFrame:
-    """record_id, node, source, text (hash of the name), phone, kind, place, surname, form of the records that
+    """record_id, source, text (hash of the name), phone, kind, place, surname, form of the records that
     name somebody. Names and addresses are read in one pass; their words are looked up in vocabularies that
     are shipped where they are small and joined where they aren't."""
     short = familiar(short_names)
+    pairs = tuple(short.items())
 
-    @F.pandas_udf("kind string, names array<string>, numbers string, words string")
-    def read(names: pd.Series, addresses: pd.Series) -> pd.DataFrame:
-        rows = [(*(read_name(n, short) or (None, None)), *(read_address(a) or (None, None))) for n, a in zip(names, addresses)]
-        return pd.DataFrame(rows, columns=["kind", "names", "numbers", "words"], dtype=object)
+    def read(names, addresses):
+        table = sounds_of(pairs)
+        rows = [(k[0], " ".join(k[1]), *(read_address(a) or NOWHERE)) if (k := read_name(n, table)) else NOBODY for n, a in zip(names, addresses)]
+        return list(zip(*rows)) or [()] * 5
 
+    read = rowwise(read, "kind", "names", "numbers", "words", "apart")
     base = spread(records.select("record_id", "source", "name", "address", "phone"))
-    read_rows = base.select("record_id", "source", F.xxhash64("record_id").alias("node"), F.xxhash64("name").alias("text"), phone_key(F.col("phone")).cast("bigint").alias("phone"), read("name", "address").alias("r"))
-    rows = cut(read_rows.select("record_id", "source", "node", "text", "phone", "r.*").filter("kind is not null"))
+    read_rows = base.select("record_id", "source", F.xxhash64("name").alias("text"), phone_key(F.col("phone")).cast("bigint").alias("phone"), read("name", "address").alias("r"))
+    rows = cut(read_rows.select("record_id", "source", "text", "phone", "r.*").filter("kind is not null"))
     roots = spellings(rows)
-    known = vocabulary(rows.select("kind", F.col("names").alias("words")), short)
-    words, spelt = shipped(known, "word", "root", "given", "n"), shipped(roots, "word", "root")
-    if words is not None and spelt is not None:
-        sent = rows.sparkSession.sparkContext.broadcast((words, spelt))
-
-        @F.pandas_udf("place string, surname string, form string")
-        def look_up(kinds: pd.Series, names: pd.Series, numbers: pd.Series, naming: pd.Series) -> pd.DataFrame:
-            by_word, by_place = sent.value
-            return pd.DataFrame(
-                [(place_of(n, w, by_place) if n else None, *compose(k, [by_word.get(x) or (x, False, 0) for x in name])) for k, name, n, w in zip(kinds, names, numbers, naming)],
-                columns=["place", "surname", "form"], dtype=object,
-            )
-
-        out = rows.withColumn("l", look_up("kind", "names", "numbers", "words")).select("record_id", "source", "node", "text", "phone", "kind", "l.*")
-    else:
-        out = places(joined_forms(rows, known), roots)
-    return out.withColumn("place", F.when(F.col("place").isNotNull(), F.xxhash64("place")))
+    known = vocabulary(rows, short)
+    words, spelt = shipped(known, "word", "root", "given", "n"), shipped(roots, "word", "root", "implied")
+    if words is None or spelt is None:
+        out = joined_places(joined_forms(rows, known), roots)
+        return out.withColumn("place", F.when(F.col("at").isNotNull(), F.xxhash64("at", "naming"))).drop("at", "naming")
+    sent = rows.sparkSession.sparkContext.broadcast((words, spelt))
+
+    def look_up(kinds, names, numbers, naming, apart):
+        by_word, by_place = sent.value
+        met: dict = {}
+        forms = []
+        for k, name in zip(kinds, names):
+            form = met.get((k, name))
+            if form is None:
+                form = met[k, name] = compose(k, [by_word.get(y) or (y, False, 0) for y in name.split(" ")])
+            forms.append(form)
+        return [*(zip(*placed_rows(numbers, naming, apart, by_place)) if forms else ((), ())), *(zip(*forms) if forms else ((), ()))]
+
+    look_up = rowwise(look_up, "at", "naming", "surname", "form")
+    found = rows.withColumn("l", look_up("kind", "names", "numbers", "words", "apart")).select("record_id", "source", "text", "phone", "kind", "l.*")
+    return found.withColumn("place", F.when(F.col("at").isNotNull(), F.xxhash64("at", "naming"))).drop("at", "naming")
 
 
 def joined_forms(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -137,78 +135,109 @@ def joined_forms(rows: DataFrame, known: DataFrame) -> DataFrame:
     # By the words and not by the record: ids may repeat or be null.
     keyed = rows.withColumn("_words", F.xxhash64("names"))
     distinct = keyed.select("_words", "names").dropDuplicates(["_words"])
-    exploded = distinct.select("_words", F.posexplode("names").alias("at", "word")).join(known, "word", "left")
+    exploded = distinct.select("_words", F.posexplode(F.split("names", " ")).alias("at", "word")).join(known, "word", "left")
     listed = exploded.groupBy("_words").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("root", "word").alias("root"), F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
     kept = keyed.drop("names").join(listed, "_words")
     return kept.withColumn("c", composed("kind", "w")).select(*[c for c in kept.columns if c not in ("w", "_words")], "c.*")
 
 
-def _blocks(people: DataFrame):
+def _blocks():
     """Where names are met: at a phone, a place, and in a rare family; as hashes, in this order."""
     named = F.length("surname") > 2
-    return F.array(
-        F.when(named & F.col("phone").isNotNull(), F.struct(F.xxhash64(F.lit("p"), "surname", "phone").alias("block"), F.lit(0).alias("k"))),
-        F.when(named & F.col("place").isNotNull(), F.struct(F.xxhash64(F.lit("l"), "surname", "place").alias("block"), F.lit(1).alias("k"))),
-        F.when(named & F.col("family"), F.struct(F.xxhash64(F.lit("f"), "surname").alias("block"), F.lit(2).alias("k"))),
+    return F.array_compact(
+        F.array(
+            F.when(named & F.col("phone").isNotNull(), F.struct(F.xxhash64(F.lit("p"), "surname", "phone").alias("block"), F.lit(0).alias("k"))),
+            F.when(named & F.col("place").isNotNull(), F.struct(F.xxhash64(F.lit("l"), "surname", "place").alias("block"), F.lit(1).alias("k"))),
+            F.when(named & F.col("family"), F.struct(F.xxhash64(F.lit("f"), "surname").alias("block"), F.lit(2).alias("k"))),
+        )
     )
 
 
+FULL = r"^[^|]+\|$"
+
+
 def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
     """Spread full names over short forms until nothing changes. ``people``: node, surname, form, phone, place, family.
 
-    Only distinct (block, form) move, and of the people only those whose form is replaced, by one with more
-    given names or fewer initials, so it ends. Raises if it isn't stable after ``rounds``."""
+    In each round a short form takes the full one that it alone can stand for in its block: of the full names of the
+    block those count that aren't short for another one there. All is joins on (block, form), so a block of any
+    size is spread over the cluster; from the second round on only blocks move in which a form has changed. A
+    form is replaced by one with more given names or fewer initials, so it ends. Raises if it isn't stable
+    after ``rounds``."""
+    at = cut(people.select("node", "form", F.explode(_blocks()).alias("x")).select("node", "form", "x.block", "x.k"))
+    current = at
+    changed = None
     for _ in range(rounds):
-        at = people.filter("kind = 'person'").select("node", "form", F.explode(F.filter(_blocks(people), lambda x: x.isNotNull())).alias("x")).select("node", "form", "x.block", "x.k")
-        met = at.select("block", "form").distinct()
-        lists = met.groupBy("block").agg(F.collect_list("form").alias("forms")).filter((F.size("forms") > 1) & F.exists("forms", lambda f: ~f.rlike(r"^[^|+]+\|$")))
-        pairs = lists.select("block", F.explode(F.pandas_udf(resolved, "array<string>")("forms")).alias("pair"))
-        taken = cut(pairs.select(F.xxhash64("block", F.substring_index("pair", ">", 1)).alias("key"), F.substring_index("pair", ">", -1).alias("full")))
-        # A pair's short form is some node's in its block, so where there is a pair a form changes.
-        if taken.isEmpty():
-            return people
-        keyed = at.select("node", "form", "k", F.xxhash64("block", "form").alias("key"))
-        took = keyed.join(taken, "key").groupBy("node", "form").agg(F.min_by("full", F.struct("k", "full")).alias("took"))
-        people = cut(people.join(took, ["node", "form"], "left").withColumn("form", F.coalesce("took", "form")).drop("took"), instead_of=people)
-        tidy(people.sparkSession)
-    raise RuntimeError(f"forms of names aren't stable after {rounds} rounds")
+        met = current.select("block", "form").distinct()
+        fulls = met.filter(F.col("form").rlike(FULL))
+        variants = fulls.select("block", F.col("form").alias("full"), F.explode(shorter(F.col("form"))).alias("form"))
+        fits = cut(met.select(F.xxhash64("block", "form").alias("key"), "block", "form").join(variants.select(F.xxhash64("block", "form").alias("key"), "full"), "key"))
+        # A full name that is short for another one of its block stands back.
+        inner = fits.filter(F.col("form").rlike(FULL)).select("block", F.col("form").alias("full"))
+        top = fits.join(inner, ["block", "full"], "left_anti").groupBy("block", "form").agg(F.min("full").alias("full"), F.count("*").alias("n")).filter("n = 1")
+        took = current.join(top.select("block", "form", "full"), ["block", "form"]).groupBy("node").agg(F.min_by("full", F.struct("k", "full")).alias("took"))
+        took = cut(took)
+        if took.isEmpty():
+            break
+        changed = took if changed is None else cut(changed.join(took, "node", "left_anti").unionByName(took), instead_of=changed)
+        # What comes next: every member of the blocks in which a form changed, in its present form.
+        touched = at.join(took.select("node"), "node", "left_semi").select("block").distinct()
+        current = cut(at.join(touched, "block", "left_semi").join(changed, "node", "left").withColumn("form", F.coalesce("took", "form")).drop("took"))
+    else:
+        raise RuntimeError(f"forms of names aren't stable after {rounds} rounds")
+    if changed is None:
+        return people
+    return people.join(changed, "node", "left").withColumn("form", F.coalesce("took", "form")).drop("took")
 
 
 def surname_owners(people: DataFrame) -> DataFrame:
-    """(surname, owners): how many distinct phones a surname has, counted exactly in two combined groupings."""
-    return people.select("surname", "phone").distinct().groupBy("surname").agg(F.count("phone").alias("owners"))
+    """(surname, kind, owners): how many distinct phones the people of a surname have, and how many trades the
+    organisations of one name, counted exactly in two combined groupings."""
+    by = F.when(F.col("kind") == "person", F.col("phone")).otherwise(F.xxhash64("form"))
+    return people.select("surname", "kind", by.alias("by")).distinct().groupBy("surname", "kind").agg(F.count("by").alias("owners"))
+
+
+def crowd(people: DataFrame, attribute: str) -> DataFrame:
+    """(attribute, named): how many different names are met at a phone or place, where there is more than one."""
+    met = people.filter(F.col(attribute).isNotNull()).select(attribute, F.xxhash64("surname", "form").alias("name")).distinct()
+    return met.groupBy(attribute).agg(F.count("*").alias("named")).filter("named > 1")
 
 
 def owner_ids(records: DataFrame, short_names: DataFrame, chance: float = CHANCE) -> DataFrame:
-    """record_id, source, text, owner, phone, place, surname, form of each record that has an owner."""
-    people = cut(described(records, short_names))
+    """record_id, source, text, owner, phone, place, named, kept of each record that has an owner.
+
+    Records of one name, phone and place are one node. A node is linked to its name at its phone, its name at its
+    place, and its name alone; the weight of a link is how many others are expected to share it by accident: those
+    who are named at the phone or place, or have the surname, times the share of such names. Links above ``chance``
+    are pruned."""
+    rows = cut(described(records, short_names).withColumn("node", F.xxhash64("kind", "surname", "form", "phone", "place")))
+    people = cut(rows.select("node", "kind", "surname", "form", "phone", "place").distinct())
     # Rarity: owners of a surname by its phones, shares of given names by families.
     phones = cut(surname_owners(people))
-    rare = phones.select("surname", (F.col("owners") <= 3).alias("family"))
-    people = cut(people.join(rare, "surname"), instead_of=people)
-    people = resolve_forms(people)
+    people = cut(resolve_forms(people.join(phones.withColumn("family", F.col("owners") <= FAMILY), ["surname", "kind"])))
+    forms = people.select("surname", "form").distinct()
     given = F.split(F.substring_index("form", "|", 1), r"\+")
-    forms = cut(people.select("surname", "kind", "form").distinct())
-    share = forms.filter("kind = 'person'").select(F.explode(given).alias("w")).filter("w <> ''").groupBy("w").count()
-    known = max(1, share.agg(F.sum("count")).first()[0] or 1)
-    weighed = forms.select("surname", "kind", "form", F.explode(given).alias("w")).join(share.withColumn("p", F.col("count") / known), "w", "left")
-    expected = weighed.groupBy("surname", "kind", "form").agg(F.exp(F.sum(F.log(F.coalesce("p", F.lit(0.02))))).alias("p")).join(phones, "surname")
-    unique = (F.col("kind") == "org") | (F.col("form").rlike(r"^[^|]+\|$") & (F.greatest(F.col("owners"), F.lit(1)) * F.col("p") <= chance))
-    # Meta-blocking: of the links by name alone only the rare ones stay.
-    alone = expected.filter((F.length("surname") >= 5) & unique).select(F.xxhash64(F.lit("s"), "surname", "form").alias("link"))
-    full = F.col("form").rlike(r"^[^|]+\|$") & (F.col("form") != "muhamad|") & (F.col("kind") == "person")
+    share = forms.select(F.explode(given).alias("w")).filter("w <> ''").groupBy("w").count()
+    known = share.agg((F.coalesce(F.sum("count"), F.lit(0)) + UNSEEN).alias("known"))
+    weighed = forms.select("form").distinct().select("form", F.explode(given).alias("w")).join(share.crossJoin(F.broadcast(known)).select("w", (F.col("count") / F.col("known")).alias("p")), "w", "left")
+    chances = cut(weighed.groupBy("form").agg(F.exp(F.sum(F.log(F.coalesce("p", F.lit(0.02))))).alias("p")))
+    full = F.col("form").rlike(FULL) & (F.col("form") != "muhamad|")
+    person = full & (F.col("kind") == "person")
     named = F.length("surname") >= 3
-    links = F.array(
-        F.when(F.col("phone").isNotNull(), F.when(full, F.xxhash64(F.lit("p"), "form", "phone")).when(named, F.xxhash64(F.lit("sp"), "surname", "form", "phone"))),
-        F.when(F.col("place").isNotNull(), F.when(full, F.xxhash64(F.lit("l"), "form", "place", F.substring("surname", 1, 1))).when(named, F.xxhash64(F.lit("sl"), "surname", "form", "place"))),
-    )
-    by_attribute = people.select("node", F.explode(F.filter(links, lambda x: x.isNotNull())).alias("link"))
-    by_name = people.select("node", F.xxhash64(F.lit("s"), "surname", "form").alias("link")).join(alone, "link", "left_semi")
-    linked = by_attribute.unionAll(by_name.select("node", "link"))
-    first = linked.groupBy("link").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    labels = stars(undirected(linked.join(first, "link").select("node", "first"), "node", "first"))
-    tidy(people.sparkSession)
-    return people.join(labels, people["node"] == labels["u"], "left").select("record_id", "source", "text", "phone", "place", F.xxhash64("surname", "form").alias("named"), F.coalesce("v", "node").alias("owner"))
+    weighted = people.join(chances, "form").join(crowd(people, "phone").withColumnRenamed("named", "at_phone"), "phone", "left").join(crowd(people, "place").withColumnRenamed("named", "at_place"), "place", "left")
+    others = lambda n: (F.coalesce(F.col(n), F.lit(1)) - 1) * F.col("p") <= chance
+    # A given name at a phone is enough where few are named there; else the surname has to agree too.
+    by_phone = F.when(person & others("at_phone"), F.xxhash64(F.lit("p"), "form", "phone")).when(named, F.xxhash64(F.lit("sp"), "surname", "form", "phone"))
+    by_place = F.when(person & others("at_place"), F.xxhash64(F.lit("l"), "form", "place", F.substring("surname", 1, 1))).when(named, F.xxhash64(F.lit("sl"), "surname", "form", "place"))
+    alone = (F.length("surname") >= 5) & F.col("form").rlike(FULL) & (F.greatest(F.col("owners"), F.lit(1)) * F.col("p") <= chance)
+    links = F.array_compact(F.array(F.when(F.col("phone").isNotNull(), by_phone), F.when(F.col("place").isNotNull(), by_place), F.when(alone, F.xxhash64(F.lit("s"), "surname", "form"))))
+    linked = cut(weighted.select("node", F.xxhash64("surname", "form").alias("named"), links.alias("links")))
+    # The attributes themselves are what is connected: a node with two of them ties them together.
+    ties = linked.filter(F.size("links") > 1).select(F.explode(F.transform(F.sequence(F.lit(2), F.size("links")), lambda i: F.struct(F.element_at("links", i - 1).alias("a"), F.element_at("links", i).alias("b")))).alias("t")).select("t.*")
+    labels = stars(undirected(ties, "a", "b"))
+    first = linked.select("node", "named", F.try_element_at("links", F.lit(1)).alias("u")).join(labels, "u", "left")
+    owners = first.select("node", "named", F.coalesce("v", "u", "node").alias("owner"))
+    return rows.join(owners, "node").select("record_id", "source", "text", "phone", "place", "named", "owner")
 
 
 def owner_pairs(owned: DataFrame, across: bool) -> DataFrame:
