@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -50,12 +49,6 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files that no plan can reach any more; long loops would pile them up."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def to_roots(parents: DataFrame, word: str, parent: str) -> DataFrame:
     """``parents`` (word, parent) without cycles, each parent replaced by the last one that its chain leads to."""
     parents = cut(parents)
