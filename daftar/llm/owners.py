@@ -161,7 +161,7 @@ def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
 
     In each round a short form takes the full one that it alone can stand for in its block: of the full names of the
     block those count that aren't short for another one there. All is joins on (block, form), so a block of any
-    size is spread over the cluster; from the second round on only blocks move in which a form has changed. A
+    size is spread over the cluster; from the second round on only blocks move that have got another full name. A
     form is replaced by one with more given names or fewer initials, so it ends. Raises if it isn't stable
     after ``rounds``."""
     at = cut(people.select("node", "form", F.explode(_blocks()).alias("x")).select("node", "form", "x.block", "x.k"))
@@ -180,8 +180,9 @@ def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
         if took.isEmpty():
             break
         changed = took if changed is None else cut(changed.join(took, "node", "left_anti").unionByName(took), instead_of=changed)
-        # What comes next: every member of the blocks in which a form changed, in its present form.
-        touched = at.join(took.select("node"), "node", "left_semi").select("block").distinct()
+        # What comes next: every member, in its present form, of the blocks that have got a full name they lacked.
+        got = cut(at.join(took, "node").select("block", F.col("took").alias("form")).distinct())
+        touched = got.join(at.join(got, ["block", "form"], "left_semi"), ["block", "form"], "left_anti").select("block").distinct()
         current = cut(at.join(touched, "block", "left_semi").join(changed, "node", "left").withColumn("form", F.coalesce("took", "form")).drop("took"))
     else:
         raise RuntimeError(f"forms of names aren't stable after {rounds} rounds")
