@@ -16,36 +16,38 @@ within the limit are one piece; pieces cover the text without holes; repeated ro
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.llm.encode import VOCABULARY, Vocabulary, vocabulary, words_of
 from daftar.runtime import spread
 
-#: Tokens of a word beyond which the word itself is cut.
+#: Tokens of a word beyond which the word itself is cut; less where the limit is small.
 LONG_WORD = 32
-#: A unit ends after its mark, before the space: words of the vocabulary begin with the space before them.
-_UNIT = regex.compile(r"(?:[^.!?۔؟\n]|[.!?](?=\S))*+(?:[.!?۔؟]+[\"'”’)\]]*(?:[ \t]*+\n+)?|\n+|\Z)", flags=regex.V1)
+#: Tokens of one character at most, so the smallest limit.
+CHARACTER = 4
+#: What ends a unit: its mark and what closes it, before the space that follows: words of the vocabulary begin with it.
+_END = re.compile(r"(?:[.!?](?=\s|\Z)|[۔؟])[.!?۔؟]*[\"'”’)\]]*(?:[ \t]*\n+)?|\n+")
 _WORDS = re.compile(r"[^\W\d_]{3,}")
 
 
-def atoms(text: str, known: Vocabulary) -> tuple[list[int], list[int], bool]:
-    """Ends and token counts of the words of a text (long words in parts), and whether any was cut."""
+def atoms(text: str, known: Vocabulary, most: int = LONG_WORD) -> tuple[list[int], list[int], bool]:
+    """Ends and token counts of the words of a text (those of more than ``most`` tokens in parts), and whether any
+    was cut."""
     words, remembered = words_of(text), known.words
     sizes = [len(remembered.get(w) or known.word(w)) for w in words]
-    if max(sizes, default=0) <= LONG_WORD:
+    if max(sizes, default=0) <= most:
         return list(accumulate(map(len, words))), sizes, False
     ends, counts, at = [], [], 0
     for word, size in zip(words, sizes):
-        if size <= LONG_WORD:
+        if size <= most:
             at += len(word)
             ends.append(at)
             counts.append(size)
@@ -54,7 +56,7 @@ def atoms(text: str, known: Vocabulary) -> tuple[list[int], list[int], bool]:
         for token in ids:
             held += known.bytes[token]
             here += 1
-            if here >= LONG_WORD - 3:
+            if here >= most - 3:
                 try:
                     part = held.decode("utf-8")
                 except UnicodeDecodeError:
@@ -70,46 +72,65 @@ def atoms(text: str, known: Vocabulary) -> tuple[list[int], list[int], bool]:
     return ends, counts, True
 
 
+def units(text: str) -> list[int]:
+    """Ends of the sentences and lines of a text."""
+    ends = [m.end() for m in _END.finditer(text)]
+    return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
+
+
+def similarities(words: np.ndarray, unit: np.ndarray, n: int, block: int) -> np.ndarray:
+    """Cosine of the words of ``block`` units before and after each of the n - 1 gaps; ``words`` as numbers, each with
+    its unit.
+
+    Two occurrences of a word add to a product at the gaps that have one in each block, and to a square at the gaps
+    that have both in one; these are ranges of gaps, so all are summed by their ends."""
+    order = np.lexsort((unit, words))
+    words, unit = words[order], unit[order]
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (unit[1:] != unit[:-1])
+    start = np.flatnonzero(new)
+    words, unit, times = words[start], unit[start], np.diff(np.append(start, len(new))).astype(float)
+    dot, before, after = np.zeros(n + 2 * block + 2), np.zeros(n + 2 * block + 2), np.zeros(n + 2 * block + 2)
+
+    def add(to: np.ndarray, low: np.ndarray, high: np.ndarray, weight: np.ndarray) -> None:
+        """``weight`` to the gaps from ``low`` to ``high``; a gap has the number of the unit after it."""
+        low, high = np.maximum(low, 1), np.minimum(high, n - 1) + 1
+        keep = low < high
+        to += np.bincount(low[keep], weight[keep], len(to)) - np.bincount(high[keep], weight[keep], len(to))
+
+    add(before, unit + 1, unit + block, times * times)
+    add(after, unit - block + 1, unit, times * times)
+    for lag in range(1, 2 * block):
+        p, q = unit[:-lag], unit[lag:]
+        pairs = (words[:-lag] == words[lag:]) & (q - p < 2 * block)
+        if not pairs.any():
+            break
+        p, q, w = p[pairs], q[pairs], (times[:-lag] * times[lag:])[pairs]
+        add(dot, np.maximum(p + 1, q - block + 1), np.minimum(p + block, q), w)
+        close = q - p < block
+        p, q, w = p[close], q[close], 2 * w[close]
+        add(before, q + 1, p + block, w)
+        add(after, q - block + 1, p, w)
+    product = np.cumsum(before)[1:n] * np.cumsum(after)[1:n]
+    return np.where(product > 0.5, np.cumsum(dot)[1:n] / np.sqrt(np.maximum(product, 1)), 0.0)
+
+
 def gaps(text: str, block: int) -> dict[int, tuple[float, int]]:
     """Depth of the valley and strength (1 sentence, 2 line, 3 paragraph) of each natural boundary, by its place."""
-    spans = [m.span() for m in _UNIT.finditer(text) if m.end() > m.start()]
+    ends = units(text)
+    n = len(ends)
+    if n < 2:
+        return {}
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c if len(d := c.lower()) != 1 else d for c in text)
-    bags = [Counter(_WORDS.findall(low, a, b)) for a, b in spans]
-    n = len(spans)
-    if n < 2:
-        return {}
-    before: dict[str, int] = {}
-    after: dict[str, int] = {}
-    squares = [0, 0]
-    dot = 0
-
-    def move(bag: Counter, side: dict[str, int], other: dict[str, int], which: int, sign: int) -> None:
-        """Add or take the words of a unit, keeping the product and the squares."""
-        nonlocal dot
-        for w, c in bag.items():
-            had, c = side.get(w, 0), sign * c
-            squares[which] += c * (2 * had + c)
-            if w in other:
-                dot += c * other[w]
-            if had + c:
-                side[w] = had + c
-            else:
-                del side[w]
-
-    move(bags[0], before, after, 0, 1)
-    for bag in bags[1 : 1 + block]:
-        move(bag, after, before, 1, 1)
-    similar = []
-    for g in range(1, n):
-        similar.append(dot / math.sqrt(squares[0] * squares[1]) if squares[0] and squares[1] else 0.0)
-        move(bags[g], after, before, 1, -1)
-        move(bags[g], before, after, 0, 1)
-        if g >= block:
-            move(bags[g - block], before, after, 0, -1)
-        if g + block < n:
-            move(bags[g + block], after, before, 1, 1)
+    flat, sizes, a = [], [], 0
+    for b in ends:
+        words = _WORDS.findall(low, a, b)
+        flat += words
+        sizes.append(len(words))
+        a = b
+    similar = similarities(np.fromiter(map(hash, flat), np.int64, len(flat)), np.repeat(np.arange(n), sizes), n, block).tolist()
     # The depth of a valley is its distance to the nearest peak on either side.
     left, right = similar[:], similar[:]
     for i in range(1, n - 1):
@@ -118,7 +139,7 @@ def gaps(text: str, block: int) -> dict[int, tuple[float, int]]:
         right[i] = max(similar[i], right[i + 1] if similar[i + 1] >= similar[i] else similar[i])
     out = {}
     for i, s in enumerate(similar):
-        a, b = spans[i]
+        a, b = ends[i - 1] if i else 0, ends[i]
         tail = text[max(a, b - 4) : b]
         out[b] = (left[i] + right[i] - 2 * s, 3 if tail.count("\n") > 1 else 2 if "\n" in tail else 1)
     return out
@@ -128,12 +149,14 @@ def pieces(text: str, known: Vocabulary, limit: int = 512, overlap: int = 64, bl
     """(start, end, tokens) of each piece; a piece is at least ``least`` of the limit where boundaries allow."""
     if len(text) <= 4 * limit and (total := known.count(text)) <= limit:
         return [(0, len(text), total)]
-    ends, counts, long_words = atoms(text, known)
-    if (total := sum(counts)) <= limit:
-        return [(0, len(text), known.count(text) if long_words else total)]
-    places = gaps(text, block)
-    starts, n, out, first = [0, *ends[:-1]], len(ends), [], 0
-    fresh = 0
+    ends, counts, long_words = atoms(text, known, min(LONG_WORD, limit - overlap))
+    sums = [0, *accumulate(counts)]
+    if sums[-1] <= limit:
+        return [(0, len(text), known.count(text) if long_words else sums[-1])]
+    depths = gaps(text, block)
+    starts, n, out = [0, *ends[:-1]], len(ends), []
+    natural = [k for k, end in enumerate(ends) if end in depths]
+    first = fresh = 0
 
     def size_of(a: int, b: int) -> int:
         if long_words:
@@ -142,43 +165,41 @@ def pieces(text: str, known: Vocabulary, limit: int = 512, overlap: int = 64, bl
         k = b - 1
         while k > a and text[starts[k] : ends[k]].isspace():
             k -= 1
-        return sum(counts[a:k]) + known.count(text[starts[k] : ends[b - 1]])
+        return sums[k] - sums[a] + known.count(text[starts[k] : ends[b - 1]])
 
     while True:
-        size, last = 0, first
-        while last < n and size + counts[last] <= limit:
-            size += counts[last]
-            last += 1
+        last = bisect_right(sums, sums[first] + limit) - 1
         if long_words:
             # Parts of a cut word may join into other tokens, so what counts is the piece itself.
             while last > first + 1 and known.count(text[starts[first] : ends[last - 1]]) > limit:
                 last -= 1
+        if last <= fresh and first < fresh:
+            # The overlap leaves no room for what is next.
+            first = fresh
+            continue
+        last = max(last, first + 1)
         if last >= n:
             out.append((starts[first], len(text), size_of(first, n)))
             return out
-        best, run = (-1.0, 0, 0), 0
-        for k in range(first, last):
-            run += counts[k]
-            if k >= fresh and run >= least * limit and ends[k] in places:
-                depth, strength = places[ends[k]]
+        best = (-1.0, 0, 0)
+        for k in natural[bisect_left(natural, max(first, fresh)) : bisect_left(natural, last)]:
+            if sums[k + 1] - sums[first] >= least * limit:
+                depth, strength = depths[ends[k]]
                 best = max(best, (round(depth, 3) + 0.05 * strength, strength, k + 1))
         cut = best[2] or last
         if not best[2]:
             # No natural boundary in the window: the last place after white space, else between words.
             cut = next((k for k in range(last, max(first, fresh), -1) if text[ends[k - 1]].isspace() or text[ends[k - 1] - 1].isspace()), last)
-        begin, end = starts[first], ends[cut - 1]
-        out.append((begin, end, size_of(first, cut)))
-        back, shared = cut, 0
-        while back - 1 > first and shared + counts[back - 1] <= overlap:
-            back -= 1
-            shared += counts[back]
-        first, fresh = back, cut
+        out.append((starts[first], ends[cut - 1], size_of(first, cut)))
+        first, fresh = max(first + 1, bisect_left(sums, sums[cut] - overlap)), cut
 
 
 def split(documents: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 512, overlap: int = 64, block: int = 6, path: str = VOCABULARY) -> DataFrame:
     """(key, piece_no, start, end, n_tokens, piece): consecutive pieces of each row's text."""
-    if not 0 <= overlap < limit / 4:
-        raise ValueError("the overlap must be less than a quarter of the limit")
+    if limit < CHARACTER:
+        raise ValueError("a character can have four tokens, so the limit has to be four at least")
+    if not 0 <= overlap <= limit / 4:
+        raise ValueError("the overlap must be a quarter of the limit at most")
     rows = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
