@@ -165,7 +165,9 @@ def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
     form is replaced by one with more given names or fewer initials, so it ends. Raises if it isn't stable
     after ``rounds``."""
     at = cut(people.select("node", "form", F.explode(_blocks()).alias("x")).select("node", "form", "x.block", "x.k"))
-    current = at
+    # Where one form only is met nothing can be taken, and what comes in later looks the block up again.
+    several = cut(at.groupBy("block").agg(F.min("form").alias("a"), F.max("form").alias("b")).filter("a <> b").select("block"))
+    current = at.join(several, "block", "left_semi")
     changed = None
     for _ in range(rounds):
         met = current.select("block", "form").distinct()
@@ -175,14 +177,14 @@ def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
         # A full name that is short for another one of its block stands back.
         inner = fits.filter(F.col("form").rlike(FULL)).select("block", F.col("form").alias("full"))
         top = fits.join(inner, ["block", "full"], "left_anti").groupBy("block", "form").agg(F.min("full").alias("full"), F.count("*").alias("n")).filter("n = 1")
-        took = current.join(top.select("block", "form", "full"), ["block", "form"]).groupBy("node").agg(F.min_by("full", F.struct("k", "full")).alias("took"))
+        took = current.join(cut(top.select("block", "form", "full")), ["block", "form"]).groupBy("node").agg(F.min_by("full", F.struct("k", "full")).alias("took"))
         took = cut(took)
         if took.isEmpty():
             break
         changed = took if changed is None else cut(changed.join(took, "node", "left_anti").unionByName(took), instead_of=changed)
         # What comes next: every member, in its present form, of the blocks that have got a full name they lacked.
         got = cut(at.join(took, "node").select("block", F.col("took").alias("form")).distinct())
-        touched = got.join(at.join(got, ["block", "form"], "left_semi"), ["block", "form"], "left_anti").select("block").distinct()
+        touched = got.join(current.join(got, ["block", "form"], "left_semi"), ["block", "form"], "left_anti").select("block").distinct()
         current = cut(at.join(touched, "block", "left_semi").join(changed, "node", "left").withColumn("form", F.coalesce("took", "form")).drop("took"))
     else:
         raise RuntimeError(f"forms of names aren't stable after {rounds} rounds")
@@ -201,7 +203,7 @@ def surname_owners(people: DataFrame) -> DataFrame:
 def crowd(people: DataFrame, attribute: str) -> DataFrame:
     """(attribute, named): how many different names are met at a phone or place, where there is more than one."""
     met = people.filter(F.col(attribute).isNotNull()).select(attribute, F.xxhash64("surname", "form").alias("name")).distinct()
-    return met.groupBy(attribute).agg(F.count("*").alias("named")).filter("named > 1")
+    return cut(met.groupBy(attribute).agg(F.count("*").alias("named")).filter("named > 1"))
 
 
 def owner_ids(records: DataFrame, short_names: DataFrame, chance: float = CHANCE) -> DataFrame:
@@ -237,19 +239,23 @@ def owner_ids(records: DataFrame, short_names: DataFrame, chance: float = CHANCE
     ties = linked.filter(F.size("links") > 1).select(F.explode(F.transform(F.sequence(F.lit(2), F.size("links")), lambda i: F.struct(F.element_at("links", i - 1).alias("a"), F.element_at("links", i).alias("b")))).alias("t")).select("t.*")
     labels = stars(undirected(ties, "a", "b"))
     first = linked.select("node", "named", F.try_element_at("links", F.lit(1)).alias("u")).join(labels, "u", "left")
-    owners = first.select("node", "named", F.coalesce("v", "u", "node").alias("owner"))
+    owners = cut(first.select("node", "named", F.coalesce("v", "u", "node").alias("owner")))
     return rows.join(owners, "node").select("record_id", "source", "text", "phone", "place", "named", "owner")
 
 
-def owner_pairs(owned: DataFrame, across: bool) -> DataFrame:
-    """(left_record_id, right_record_id, confidence): records of one owner, of different sources
-    (``across``) or of the same source with different name texts; the smaller id first."""
+def paired(owned: DataFrame, across: bool) -> DataFrame:
+    """Two records ``a`` and ``b`` of one owner, of different sources (``across``) or of the same source with different
+    name texts; the smaller id first."""
     a, b = owned.alias("a"), owned.alias("b")
     kind = F.col("a.source") != F.col("b.source") if across else (F.col("a.source") == F.col("b.source")) & (F.col("a.text") != F.col("b.text"))
-    pairs = a.join(b, (F.col("a.owner") == F.col("b.owner")) & kind & (F.col("a.record_id") < F.col("b.record_id")))
+    return a.join(b, (F.col("a.owner") == F.col("b.owner")) & kind & (F.col("a.record_id") < F.col("b.record_id")))
+
+
+def owner_pairs(owned: DataFrame, across: bool) -> DataFrame:
+    """(left_record_id, right_record_id, confidence) of the pairs."""
     # Chances that each agreement is an accident, taken as independent.
     doubt = (
         F.when(F.col("a.phone") == F.col("b.phone"), 0.05).otherwise(1.0) * F.when(F.col("a.place") == F.col("b.place"), 0.1).otherwise(1.0)
         * F.when(F.col("a.named") == F.col("b.named"), 0.2).otherwise(0.6)
     )
-    return pairs.select(F.col("a.record_id").alias("left_record_id"), F.col("b.record_id").alias("right_record_id"), F.round(1 - F.coalesce(doubt, F.lit(0.6)), 3).alias("confidence"))
+    return paired(owned, across).select(F.col("a.record_id").alias("left_record_id"), F.col("b.record_id").alias("right_record_id"), F.round(1 - F.coalesce(doubt, F.lit(0.6)), 3).alias("confidence"))

@@ -12,19 +12,23 @@ def _civic(spark, d):
     return owners.records_of({t: table(spark, d, t) for t in owners.CIVIC})
 
 
-def _owned(spark, d, sources=None):
-    records = _civic(spark, d)
-    owned = owners.owner_ids(records, table(spark, d, "short_names"))
-    return cut(owned if sources is None else owned.filter(F.col("source").isin(*sources)))
+def _owned(spark, d):
+    return owners.owner_ids(_civic(spark, d), table(spark, d, "short_names"))
 
 
 def p1_found(spark, d):
-    return owners.owner_pairs(_owned(spark, d), across=True).select("left_record_id", "right_record_id")
+    owned = cut(_owned(spark, d).select("record_id", F.xxhash64("source").alias("source"), "owner"))
+    return owners.paired(owned, across=True).select(F.col("a.record_id").alias("left_record_id"), F.col("b.record_id").alias("right_record_id"))
 
 
 def p1_matches(spark, d):
     """The pairs with the confidence of each."""
-    return owners.owner_pairs(_owned(spark, d), across=True)
+    return owners.owner_pairs(cut(_owned(spark, d)), across=True)
+
+
+def p1_members(spark, d):
+    """The same owners as one row per record."""
+    return _owned(spark, d).select("record_id", "owner")
 
 
 def p2_found(spark, d):
@@ -34,13 +38,19 @@ def p2_found(spark, d):
 
 def p4_found(spark, d):
     typed = ("fbr_tax_records_complex", "excise_vehicles_complex", "disco_consumption_complex")
-    return owners.owner_pairs(_owned(spark, d, typed), across=False).select("left_record_id", "right_record_id")
+    owned = cut(_owned(spark, d).filter(F.col("source").isin(*typed)).select("record_id", F.xxhash64("source").alias("source"), "text", "owner"))
+    return owners.paired(owned, across=False).select(F.col("a.record_id").alias("left_record_id"), F.col("b.record_id").alias("right_record_id"))
 
 
 def p5_found(spark, d):
     return places.same_place_pairs(_civic(spark, d))
 
 
+def p5_members(spark, d):
+    """The same places as one row per record."""
+    return places.place_members(_civic(spark, d)).select("record_id", "place")
+
+
 def _names(spark, d):
     tax = table(spark, d, "fbr_tax_records_complex").select("record_id", F.col("full_name").alias("name"))
     return tax.unionAll(table(spark, d, "property_transfers_complex").select("record_id", F.col("buyer_name").alias("name")))
@@ -84,7 +94,7 @@ def p10_pieces(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p4_found, p5_found, p6_found, p6_names, p7_found, p7_fused, p8_ids, p9_found, p9_substituted, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p1_members, p2_found, p4_found, p5_found, p5_members, p6_found, p6_names, p7_found, p7_fused, p8_ids, p9_found, p9_substituted, p10_pieces)}
 
 
 #: Names: what the operator calls usable, in SQL.
