@@ -49,6 +49,18 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A result of ``cut`` marked for shipping to every executor if its files have at most half of ``BROADCAST_LIMIT``
+    bytes (they are compressed), as it is otherwise. Sizes are read, not estimated."""
+    folder = getattr(df, "_cut_folder", None)
+    if folder is None:
+        raise ValueError("only a table that was cut has a known size")
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    held = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if held <= BROADCAST_LIMIT // 2 else df
+
+
 def to_roots(parents: DataFrame, word: str, parent: str) -> DataFrame:
     """``parents`` (word, parent) without cycles, each parent replaced by the last one that its chain leads to."""
     parents = cut(parents)
