@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from daftar.llm.names import compose, familiar, read_name, sounds_of, vocabulary
 from daftar.llm.places import NOWHERE, joined_places, placed_rows, read_address, rowwise, shipped, spellings
 from daftar.operators.components import stars, undirected
-from daftar.runtime import cut, spread
+from daftar.runtime import cut, small, spread
 
 #: Expected owners beyond the one meant, up to which a name alone says who it is.
 CHANCE = 0.25
@@ -167,7 +167,7 @@ def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
     at = cut(people.select("node", "form", F.explode(_blocks()).alias("x")).select("node", "form", "x.block", "x.k"))
     # Where one form only is met nothing can be taken, and what comes in later looks the block up again.
     several = cut(at.groupBy("block").agg(F.min("form").alias("a"), F.max("form").alias("b")).filter("a <> b").select("block"))
-    current = at.join(several, "block", "left_semi")
+    current = cut(at.join(small(several), "block", "left_semi"))
     changed = None
     for _ in range(rounds):
         met = current.select("block", "form").distinct()
@@ -177,20 +177,21 @@ def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
         # A full name that is short for another one of its block stands back.
         inner = fits.filter(F.col("form").rlike(FULL)).select("block", F.col("form").alias("full"))
         top = fits.join(inner, ["block", "full"], "left_anti").groupBy("block", "form").agg(F.min("full").alias("full"), F.count("*").alias("n")).filter("n = 1")
-        took = current.join(cut(top.select("block", "form", "full")), ["block", "form"]).groupBy("node").agg(F.min_by("full", F.struct("k", "full")).alias("took"))
+        took = current.join(small(cut(top.select("block", "form", "full"))), ["block", "form"]).groupBy("node").agg(F.min_by("full", F.struct("k", "full")).alias("took"))
         took = cut(took)
         if took.isEmpty():
             break
         changed = took if changed is None else cut(changed.join(took, "node", "left_anti").unionByName(took), instead_of=changed)
         # What comes next: every member, in its present form, of the blocks that have got a full name they lacked.
-        got = cut(at.join(took, "node").select("block", F.col("took").alias("form")).distinct())
-        touched = got.join(current.join(got, ["block", "form"], "left_semi"), ["block", "form"], "left_anti").select("block").distinct()
-        current = cut(at.join(touched, "block", "left_semi").join(changed, "node", "left").withColumn("form", F.coalesce("took", "form")).drop("took"))
+        got = cut(at.join(small(took), "node").select("block", F.col("took").alias("form")).distinct())
+        met = cut(current.join(small(got), ["block", "form"], "left_semi").select("block", "form").distinct())
+        touched = cut(got.join(small(met), ["block", "form"], "left_anti").select("block").distinct())
+        current = cut(at.join(small(touched), "block", "left_semi").join(small(changed), "node", "left").withColumn("form", F.coalesce("took", "form")).drop("took"))
     else:
         raise RuntimeError(f"forms of names aren't stable after {rounds} rounds")
     if changed is None:
         return people
-    return people.join(changed, "node", "left").withColumn("form", F.coalesce("took", "form")).drop("took")
+    return people.join(small(changed), "node", "left").withColumn("form", F.coalesce("took", "form")).drop("took")
 
 
 def surname_owners(people: DataFrame) -> DataFrame:
@@ -201,9 +202,9 @@ def surname_owners(people: DataFrame) -> DataFrame:
 
 
 def crowd(people: DataFrame, attribute: str) -> DataFrame:
-    """(attribute, named): how many different names are met at a phone or place, where there is more than one."""
+    """(attribute, at_...): how many different names are met at a phone or place, where there is more than one."""
     met = people.filter(F.col(attribute).isNotNull()).select(attribute, F.xxhash64("surname", "form").alias("name")).distinct()
-    return cut(met.groupBy(attribute).agg(F.count("*").alias("named")).filter("named > 1"))
+    return cut(met.groupBy(attribute).agg(F.count("*").alias(f"at_{attribute}")).filter(f"at_{attribute} > 1"))
 
 
 def owner_ids(records: DataFrame, short_names: DataFrame, chance: float = CHANCE) -> DataFrame:
@@ -217,17 +218,19 @@ def owner_ids(records: DataFrame, short_names: DataFrame, chance: float = CHANCE
     people = cut(rows.select("node", "kind", "surname", "form", "phone", "place").distinct())
     # Rarity: owners of a surname by its phones, shares of given names by families.
     phones = cut(surname_owners(people))
-    people = cut(resolve_forms(people.join(phones.withColumn("family", F.col("owners") <= FAMILY), ["surname", "kind"])))
+    people = cut(resolve_forms(cut(people.join(small(phones), ["surname", "kind"]).withColumn("family", F.col("owners") <= FAMILY))))
     forms = people.select("surname", "form").distinct()
     given = F.split(F.substring_index("form", "|", 1), r"\+")
     share = forms.select(F.explode(given).alias("w")).filter("w <> ''").groupBy("w").count()
-    known = share.agg((F.coalesce(F.sum("count"), F.lit(0)) + UNSEEN).alias("known"))
-    weighed = forms.select("form").distinct().select("form", F.explode(given).alias("w")).join(share.crossJoin(F.broadcast(known)).select("w", (F.col("count") / F.col("known")).alias("p")), "w", "left")
+    # Given names among people's, words of trade among organisations'.
+    trade = F.col("w").startswith("#").alias("trade")
+    known = share.groupBy(trade).agg((F.sum("count") + UNSEEN).alias("known"))
+    weighed = forms.select("form").distinct().select("form", F.explode(given).alias("w")).join(share.withColumn("trade", trade).join(F.broadcast(known), "trade").select("w", (F.col("count") / F.col("known")).alias("p")), "w", "left")
     chances = cut(weighed.groupBy("form").agg(F.exp(F.sum(F.log(F.coalesce("p", F.lit(0.02))))).alias("p")))
     full = F.col("form").rlike(FULL) & (F.col("form") != "muhamad|")
     person = full & (F.col("kind") == "person")
     named = F.length("surname") >= 3
-    weighted = people.join(chances, "form").join(crowd(people, "phone").withColumnRenamed("named", "at_phone"), "phone", "left").join(crowd(people, "place").withColumnRenamed("named", "at_place"), "place", "left")
+    weighted = people.join(small(chances), "form").join(small(crowd(people, "phone")), "phone", "left").join(small(crowd(people, "place")), "place", "left")
     others = lambda n: (F.coalesce(F.col(n), F.lit(1)) - 1) * F.col("p") <= chance
     # A given name at a phone is enough where few are named there; else the surname has to agree too.
     by_phone = F.when(person & others("at_phone"), F.xxhash64(F.lit("p"), "form", "phone")).when(named, F.xxhash64(F.lit("sp"), "surname", "form", "phone"))
@@ -238,9 +241,9 @@ def owner_ids(records: DataFrame, short_names: DataFrame, chance: float = CHANCE
     # The attributes themselves are what is connected: a node with two of them ties them together.
     ties = linked.filter(F.size("links") > 1).select(F.explode(F.transform(F.sequence(F.lit(2), F.size("links")), lambda i: F.struct(F.element_at("links", i - 1).alias("a"), F.element_at("links", i).alias("b")))).alias("t")).select("t.*")
     labels = stars(undirected(ties, "a", "b"))
-    first = linked.select("node", "named", F.try_element_at("links", F.lit(1)).alias("u")).join(labels, "u", "left")
+    first = linked.select("node", "named", F.try_element_at("links", F.lit(1)).alias("u")).join(small(labels), "u", "left")
     owners = cut(first.select("node", "named", F.coalesce("v", "u", "node").alias("owner")))
-    return rows.join(owners, "node").select("record_id", "source", "text", "phone", "place", "named", "owner")
+    return rows.join(small(owners), "node").select("record_id", "source", "text", "phone", "place", "named", "owner")
 
 
 def paired(owned: DataFrame, across: bool) -> DataFrame:
