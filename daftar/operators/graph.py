@@ -22,6 +22,10 @@ ASSETS = {
 }
 
 
+#: What an asset is called: by which field, or else how.
+LABELS = {"tax": ("filer_status", "Unknown"), "vehicle": ("vehicle_make_model", "Vehicle"), "utility": ("meter_ref_no", "Meter"), "property": ("property_type", "Property")}
+
+
 def owned(records: DataFrame, record_entities: DataFrame) -> DataFrame:
     """Records that have an entity, with normalized address and phone."""
     joined = records.join(record_entities, "record_id")
@@ -61,7 +65,8 @@ def nodes(owned_records: DataFrame, names: DataFrame) -> DataFrame:
     parts = [address, phone]
     for kind, (node, prefix, column, _, _) in ASSETS.items():
         own = F.coalesce(F.nullif(F.col(column), F.lit("")), F.col("record_id")) if column else F.col("record_id")
-        label = F.concat(F.lit("Return "), F.coalesce(F.nullif(F.col("filer_status"), F.lit("")), F.lit("Unknown"))) if kind == "tax" else own
+        field, otherwise = LABELS[kind]
+        label = F.concat(F.lit("Return " if kind == "tax" else ""), F.coalesce(F.nullif(F.col(field), F.lit("")), F.lit(otherwise)))
         parts.append(of.filter(F.col("record_type") == kind).select(F.concat(F.lit(prefix), own).alias("node_id"), F.lit(node).alias("node_type"), label.alias("label"), "record_id"))
     firsts = reduce(DataFrame.unionAll, parts).groupBy("node_id", "node_type").agg(F.min_by("label", "record_id").alias("label"))
     return persons.unionAll(firsts)

@@ -327,7 +327,7 @@ def _nodes_sql() -> str:
     parts = ["SELECT 'ADDR-' || sha1(norm_address)[1:12] AS node_id, 'Address' AS node_type, address AS label, record_id FROM owned WHERE norm_address <> ''", "SELECT 'PHONE-' || sha1(norm_phone)[1:12], 'PhoneNumber', '***' || right(norm_phone, 4), record_id FROM owned WHERE norm_phone <> ''"]
     for kind, (node, prefix, column, _, _) in graph.ASSETS.items():
         own = f"coalesce(nullif({column}, ''), record_id)" if column else "record_id"
-        label = "'Return ' || coalesce(nullif(filer_status, ''), 'Unknown')" if kind == "tax" else own
+        label = {"tax": "'Return ' || coalesce(nullif(filer_status, ''), 'Unknown')", "vehicle": "coalesce(nullif(vehicle_make_model, ''), 'Vehicle')", "utility": "coalesce(nullif(meter_ref_no, ''), 'Meter')", "property": "coalesce(nullif(property_type, ''), 'Property')"}[kind]
         parts.append(f"SELECT '{prefix}' || {own}, '{node}', {label}, record_id FROM owned WHERE record_type = '{kind}'")
     return f"all_nodes AS ({' UNION ALL '.join(parts)}), nodes AS (SELECT DISTINCT entity_id AS node_id, 'Person' AS node_type, norm_name AS label FROM owned UNION ALL SELECT node_id, node_type, arg_min(label, record_id) FROM all_nodes GROUP BY 1, 2)"
 
