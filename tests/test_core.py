@@ -178,7 +178,7 @@ def test_quality_against_all_pairs(spark):
 def test_graph(spark):
     rows = [("t:1", "tax", "Ali Raza", "House 5 Lahore", "03001234567", "E1"), ("v:1", "vehicle", "Kamran Butt", "House 5 Lahore", None, "E2"), ("p:1", "property", "Ali Raza", "", None, "E1")]
     df = spark.createDataFrame(rows, "record_id string, record_type string, person_name string, address string, phone string, entity_id string").withColumns(
-        {"vehicle_reg_no": F.lit("LE-1"), "meter_ref_no": F.lit(None).cast("string"), "registry_no": F.lit(""), "filer_status": F.lit("Filer"), "declared_income": F.lit(5.0), "tax_paid": F.lit(1.0), "property_value": F.when(F.col("record_type") == "property", 100.0), "monthly_bill": F.lit(None).cast("double"), "engine_capacity_cc": F.lit(None).cast("double")}
+        {"vehicle_make_model": F.lit("Suzuki Alto"), "property_type": F.lit(""), "vehicle_reg_no": F.lit("LE-1"), "meter_ref_no": F.lit(None).cast("string"), "registry_no": F.lit(""), "filer_status": F.lit("Filer"), "declared_income": F.lit(5.0), "tax_paid": F.lit(1.0), "property_value": F.when(F.col("record_type") == "property", 100.0), "monthly_bill": F.lit(None).cast("double"), "engine_capacity_cc": F.lit(None).cast("double")}
     )
     of = graph.owned(df.drop("entity_id"), df.select("record_id", "entity_id"))
     links = graph.associations(of).collect()
@@ -186,6 +186,7 @@ def test_graph(spark):
     edges = graph.edges(of)
     assert Counter(r["relation"] for r in edges.collect()) == {"USES_ADDRESS": 2, "USES_PHONE": 1, "FILED_IN": 1, "OWNS_VEHICLE": 1, "BOUGHT_PROPERTY": 1}
     nodes = graph.nodes(of, spark.createDataFrame([("E1", "Ali Raza"), ("E2", "Kamran Butt")], "entity_id string, canonical_name string"))
+    assert {(r["node_type"], r["label"]) for r in nodes.filter("node_type in ('TaxReturn', 'Vehicle', 'Property')").collect()} == {("TaxReturn", "Return Filer"), ("Vehicle", "Suzuki Alto"), ("Property", "Property")}
     summary = graph.graph_summary(nodes, edges).first()
     assert (summary["nodes"], summary["persons"], summary["assets"], summary["edges"]) == (7, 2, 2, 6)
     exposure = graph.neighbour_exposure(graph.associations(of), graph.entity_aggregate(of), "property_value").collect()
