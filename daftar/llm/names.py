@@ -137,7 +137,11 @@ def read_name(text: str | None, table: _Sounds | None = None) -> tuple[str, list
     # Words that stand for nobody do so beside a person's name; in that of an organisation they are a part of it.
     if "#" in sounds and not any(w[0] >= "؀" for w in words):
         own = "".join([w for w in words if w not in _FORMAL])
-        return ("org", [own, *sorted({TRADE[w] for w in words if w in TRADE})]) if own else None
+        trade = sorted({TRADE[w] for w in words if w in TRADE})
+        # What has neither a name nor a trade of its own is a placeholder (a vacant unit).
+        if not own or not trade and all(w in NOBODY for w in words if w not in _FORMAL):
+            return None
+        return "org", [own, *trade]
     if "!" in sounds:
         return None
     return "person", [s for s in sounds if s > "A"] or [_sound(w) for w in words]

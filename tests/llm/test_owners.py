@@ -95,6 +95,11 @@ def test_names(text, result):
     assert names.read_name(text) == result
 
 
+@pytest.mark.parametrize(("text", "result"), [("Vacant Unit", None), ("VACANT UNIT", None), ("Legal Heirs (Pvt) Ltd", None), ("Tenant Traders", ("org", ["tenant", "#traders"])), ("Kazmi Unit", ("org", ["kazmi"]))])
+def test_placeholders_are_no_organisations(text, result):
+    assert names.read_name(text) == result
+
+
 def test_short_forms(spark):
     spark_forms = {r["f"]: set(r["s"]) for r in spark.createDataFrame([("nigat|",), ("amina+nigat|",), ("#mills+#steel|",)], "f string").select("f", owners.shorter(F.col("f")).alias("s")).collect()}
     assert spark_forms["nigat|"] == {"|n"} and spark_forms["amina+nigat|"] == {"amina|", "nigat|", "amina|n", "nigat|a", "|a", "|n", "|a+n"} and {"#mills|", "#steel|", "#org|"} <= spark_forms["#mills+#steel|"]
