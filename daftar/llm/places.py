@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from daftar.llm.unify import by_table
 from daftar.operators.components import stars, undirected
-from daftar.runtime import BROADCAST_LIMIT, cut, spread, to_roots, width
+from daftar.runtime import BROADCAST_LIMIT, cut, small, spread, to_roots, width
 
 #: Words of form and their usual abbreviations.
 HOUSE = set("house h hse makan hno houseno hous huose".split())
@@ -474,32 +474,33 @@ def read_addresses(records: DataFrame, column: str) -> DataFrame:
 
 
 def alike_addresses(keys: DataFrame, threshold: float = ALIKE) -> DataFrame:
-    """(a, b): for each distinct address (id, at, naming) that has a rare word, the one with the same numbers whose
-    vector is nearest by cosine, from ``threshold`` on. Addresses in usual words only are told apart as they are:
-    two of them that differ in a usual word are two places. The weight of a word, shared by its n-grams, is its
-    rarity among addresses."""
+    """(a, b), a smaller: all pairs of distinct addresses (id, at, naming) with the same numbers whose vectors have a
+    cosine of ``threshold`` or more and whose words don't contradict: they do where each address has a usual word
+    that the other lacks (two colonies on one road), as two house numbers do. A word that isn't usual may be a spelling
+    of any other. The weight of a word, shared by its n-grams, is its rarity among addresses."""
     words = keys.select("id", "at", F.explode(F.split("naming", " ")).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("df"))
     total = counted.agg(F.sum("df").alias("total"))
-    rarity = cut(counted.crossJoin(F.broadcast(total)).select("word", (F.log1p(F.col("total") / F.col("df")) / F.sqrt(F.length("word") + 1.0)).alias("w"), (F.col("df") <= F.greatest(F.lit(5), F.col("total") * RARE)).alias("odd")))
-    odd = words.join(rarity.filter("odd").select("word"), "word", "left_semi").select("id", "at").distinct()
-    near = keys.join(odd.select("at").distinct(), "at", "left_semi")
-    weighed = near.select("id", "at", F.explode(F.split("naming", " ")).alias("word")).join(rarity, "word")
+    rarity = cut(counted.crossJoin(F.broadcast(total)).select("word", (F.log1p(F.col("total") / F.col("df")) / F.sqrt(F.length("word") + 1.0)).alias("w"), (F.col("df") > F.greatest(F.lit(5), F.col("total") * RARE)).alias("often")))
+    several = keys.groupBy("at").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("at")
+    near = keys.join(several, "at", "left_semi")
+    weighed = near.select("id", "at", F.explode(F.split("naming", " ")).alias("word")).join(small(rarity), "word")
+    usual = weighed.groupBy("id").agg(F.collect_set(F.when(F.col("often"), F.col("word"))).alias("usual"))
     terms = weighed.select("id", "at", "w", F.explode(_grams(F.col("word"))).alias("gram")).groupBy("id", "at", "gram").agg(F.sum("w").alias("w"))
     # n-grams of two letters are at most 28 x 28.
     order = F.broadcast(terms.groupBy("gram").agg(F.count("*").alias("df")))
     listed = F.sort_array(F.collect_list(F.struct("df", "gram", "w")))
-    vectors = cut(terms.join(order, "gram").groupBy("id", "at").agg(listed.alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+    vectors = cut(terms.join(order, "gram").groupBy("id", "at").agg(listed.alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).join(usual, "id"))
     left = lambda i: F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])
-    prefix = vectors.select("id", "at", F.explode(F.filter("v", lambda x, i: left(i) >= F.col("norm") * F.col("norm") * threshold**2)).alias("x")).select("id", "at", "x.gram")
-    searching = prefix.join(odd.select("id"), "id", "left_semi").select(F.col("id").alias("a"), "at", "gram")
-    pairs = searching.join(prefix.withColumnRenamed("id", "b"), ["at", "gram"]).filter("a <> b").select("a", "b").distinct()
-    one = vectors.select(F.col("id").alias("a"), F.col("v").alias("x"), F.col("norm").alias("nx"))
-    two = vectors.select(F.col("id").alias("b"), F.col("v").alias("y"), F.col("norm").alias("ny"))
+    prefix = vectors.select("id", "at", F.explode(F.filter("v", lambda x, i: left(i) >= F.col("norm") * F.col("norm") * threshold**2 - 1e-9)).alias("x")).select("id", "at", "x.gram")
+    pairs = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), ["at", "gram"]).filter("a < b").select("a", "b").distinct()
+    one = vectors.select(F.col("id").alias("a"), F.col("v").alias("x"), F.col("norm").alias("nx"), F.col("usual").alias("ux"))
+    two = vectors.select(F.col("id").alias("b"), F.col("v").alias("y"), F.col("norm").alias("ny"), F.col("usual").alias("uy"))
     weights = F.map_from_entries(F.transform("y", lambda e: F.struct(e["gram"], e["w"])))
     dot = F.aggregate("x", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at("m", e["gram"]), F.lit(0.0)))
-    scored = pairs.join(one, "a").join(two, "b").withColumn("m", weights).select("a", "b", (dot / (F.col("nx") * F.col("ny"))).alias("cosine"))
-    return scored.filter(F.col("cosine") >= threshold).groupBy("a").agg(F.max_by("b", F.struct("cosine", "b")).alias("b"))
+    compatible = (F.size(F.array_except("ux", "uy")) == 0) | (F.size(F.array_except("uy", "ux")) == 0)
+    scored = pairs.join(one, "a").join(two, "b").filter(compatible).withColumn("m", weights).select("a", "b", (dot / (F.col("nx") * F.col("ny"))).alias("cosine"))
+    return scored.filter(F.col("cosine") >= threshold).select("a", "b")
 
 
 def place_ids(placed: DataFrame) -> DataFrame:

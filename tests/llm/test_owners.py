@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +208,29 @@ def test_parts_that_tell_places_apart(spark):
     assert pairs_of(places.same_place_pairs(df)) == {("known", "same")}
 
 
+def test_every_alike_address_is_linked(spark):
+    """All pairs of the threshold, not the nearest of each, except where each address has a usual word of its own."""
+    usual = [(f"h{i}|", w) for i in range(2, 12) for w in ("kogeditasanuvi lalazarbagh", "rutasodimelanu lalazarbagh")]
+    near = [("h1|", w) for w in ("kogeditasanuvi lalazarbagh", "kogeditasanuvo lalazarbagh", "kogeditasanuvos lalazarbagh", "kogeditasanuvi", "rutasodimelanu lalazarbagh", "rutasodimelanq lalazarbagh")]
+    keys = [(i, *k) for i, k in enumerate(near + usual)]
+    df = spark.createDataFrame(keys, "id long, at string, naming string")
+    frequency = Counter(w for _, _, n in keys for w in n.split())
+    total = sum(frequency.values())
+
+    def vector(words):
+        out = Counter()
+        for w in words.split():
+            for i in range(len(w) + 1):
+                out[f"^{w}$"[i : i + 2]] += math.log1p(total / frequency[w]) / math.sqrt(len(w) + 1)
+        return out
+
+    own = lambda x, y: {w for w in x.split() if frequency[w] > 5} - set(y.split())
+    for threshold, least in ((0.6, {(0, 1), (0, 2), (1, 2), (4, 5)}), (0.85, {(1, 2), (4, 5)})):
+        hand = {(a, b) for a, p, x in keys for b, q, y in keys if a < b and p == q and not (own(x, y) and own(y, x)) and places.cosine(vector(x), vector(y)) >= threshold}
+        assert {tuple(r) for r in places.alike_addresses(df, threshold).collect()} == hand
+        assert least <= hand and (0, 4) not in hand
+
+
 def test_places_by_kind_of_variation(spark):
     """Recall of labelled variants, by kind, over invented places; precision over all of them."""
     rng = random.Random(5)
