@@ -1,19 +1,21 @@
 """Entity resolution of canonical records: fingerprints, blocking, pair comparison, clusters, evaluation.
 
-Blocking is one equi self-join on exploded keys; the theta condition that it stands for is never evaluated
-over all pairs. What a pair needs of each record is computed once per record. The costly character
+Blocking is one equi self-join on exploded keys, its large blocks in pieces; the theta condition that it stands
+for is never evaluated over all pairs, and candidates are counted without being built. What a pair needs of each record is computed once per record. The costly character
 comparison runs only for pairs that an upper bound leaves a chance of being more than rejects.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daftar.functions import text as T
 from daftar.functions.similarity import name_profile, sequence_bound, sequence_score
 from daftar.operators.components import components
-from daftar.runtime import cut
+from daftar.runtime import cut, width
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
@@ -34,11 +36,77 @@ def blocking_keys(tokens: Column) -> Column:
     ))
 
 
+#: Rows of a block that meet others at once; a larger block is dealt out in pieces of as many.
+PIECE = 2048
+
+
+def blocked(prints: DataFrame) -> DataFrame:
+    """record_id and what the blocking keys are made of, empty where it is missing, of the rows that have an id."""
+    tokens = T.name_tokens(F.col("norm_name"))
+    filled = [F.coalesce(c, F.lit("")).alias(c) for c in ("phone", "city", "block_key")]
+    return prints.filter("record_id is not null").select("record_id", *filled, T.surname(tokens).alias("last"), T.first_initial(tokens).alias("first"))
+
+
+#: The blocking keys; a pair belongs to the first one that it shares, the largest blocks come first.
+KEYS = (("city", "first"), ("first", "last"), ("city", "last"), ("block_key",), ("phone",))
+
+
 def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """(left_id, right_id), left smaller: records that share a key; distinct."""
-    keyed = prints.select("record_id", F.explode(blocking_keys(T.name_tokens(F.col("norm_name")))).alias("key"))
-    a, b = keyed.select(F.col("record_id").alias("left_id"), "key"), keyed.select(F.col("record_id").alias("right_id"), "key")
-    return a.join(b, "key").filter("left_id < right_id").select("left_id", "right_id").distinct()
+    """(left_id, right_id), left smaller: every two rows that share a key, once.
+
+    A pair is given by the first key that it shares, so the pairs need not be made distinct and nothing as long as
+    the result is shuffled. The rows of a block stand in pieces by order of their ids, and each two pieces meet in a
+    place of their own: what moves beside the rows is a thousandth of the result, and no block is one task's."""
+    spark = prints.sparkSession
+    part = lambda key, i: F.col(key[i]) if i < len(key) else F.lit("")
+    there = lambda key: reduce(Column.__and__, [F.col(c) != "" for c in key])
+    keys = F.array_compact(F.array(*[F.when(there(key), F.struct(F.lit(k).alias("k"), part(key, 0).alias("x"), part(key, 1).alias("y"))) for k, key in enumerate(KEYS)]))
+    block = Window.partitionBy("k", "x", "y")
+    rows = blocked(prints).select("record_id", "city", "block_key", "last", "first", F.explode(keys).alias("key")).select("*", "key.*").drop("key")
+    # Equal ids have one rank, so they are never in two pieces.
+    ranked = rows.withColumn("rank", F.rank().over(block.orderBy("record_id"))).withColumn("n", F.count("*").over(block)).filter("n > 1")
+    piece = lambda c: F.floor((F.col(c) - 1) / PIECE).cast("int")
+    dealt = cut(ranked.withColumns({"piece": piece("rank"), "pieces": piece("n")}).drop("rank"))
+    met = dealt.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
+    parts = max(width(spark), min(met // PAIRS_OF_A_TASK, 10_000))
+    side = lambda s, i, j: dealt.select("k", "x", "y", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{s}_{c}") for c in ("record_id", "city", "block_key", "last", "first")]).repartition(parts, "k", "x", "y", "i", "j")
+    a = side("l", F.col("piece"), F.explode(F.sequence("piece", "pieces")))
+    b = side("r", F.explode(F.sequence(F.lit(0), F.col("piece"))), F.col("piece"))
+    shared = lambda key: reduce(Column.__and__, [(F.col(f"l_{c}") == F.col(f"r_{c}")) & (F.col(f"l_{c}") != "") for c in key])
+    first = reduce(lambda later, k: (F.col("k") == k) | (~shared(KEYS[k]) & later), range(len(KEYS) - 2, -1, -1), F.lit(True))
+    pairs = a.join(b, ["k", "x", "y", "i", "j"]).filter((F.col("l_record_id") < F.col("r_record_id")) & first)
+    return pairs.select(F.col("l_record_id").alias("left_id"), F.col("r_record_id").alias("right_id"))
+
+
+#: Candidates that one task goes through.
+PAIRS_OF_A_TASK = 20_000_000
+
+
+def count_candidates(prints: DataFrame) -> DataFrame:
+    """One row, ``candidate_pairs``: how many there are, from the sizes of groups; no pair is built.
+
+    By inclusion and exclusion over the keys: of two of the three keys of city, surname and initial follows the
+    third, so these together are each alone less twice all three."""
+    names = [(1, ("city", "last")), (1, ("first", "last")), (1, ("city", "first")), (-2, ("city", "first", "last"))]
+    alone = [(1, ("phone",)), (1, ("block_key",)), (-1, ("phone", "block_key"))]
+    terms = alone + names + [(-c * d, k + m) for c, k in alone for d, m in names]
+    columns = ["phone", "city", "block_key", "last", "first"]
+    rows = blocked(prints).groupBy("record_id", *columns).agg(F.count("*").alias("m"))
+    # A phone that one row has makes no pair; most are such.
+    phones = rows.filter("phone <> ''").groupBy("phone").agg(F.sum("m").alias("n")).filter("n > 1").select(F.col("phone").alias("_shared"))
+    rows = cut(rows.join(phones, F.col("phone") == F.col("_shared"), "left").withColumn("phone", F.coalesce("_shared", F.lit(""))).drop("_shared"))
+    there = lambda key: reduce(Column.__and__, [F.col(c) != "" for c in key])
+    of = lambda sign, key: F.when(there(key), F.struct(F.lit(sign).alias("sign"), *[(F.col(c) if c in key else F.lit(None).cast("string")).alias(c) for c in columns]))
+    keyed = lambda df: df.select("record_id", "m", F.explode(F.array_compact(F.array(*[of(*t) for t in terms]))).alias("t")).select("record_id", "m", "t.*")
+
+    def pairs(df, by):
+        sizes = df.groupBy("sign", *columns, *by).agg(F.sum("m").alias("n"))
+        return sizes.agg(F.coalesce(F.sum(F.expr("sign * (n * (n - 1) div 2)")), F.lit(0)).alias("pairs"))
+
+    # Rows of one id are no pair.
+    repeated = rows.groupBy("record_id").agg(F.sum("m").alias("n")).filter("n > 1").select("record_id")
+    within = pairs(keyed(rows.join(repeated, "record_id", "left_semi")), ["record_id"])
+    return pairs(keyed(rows), []).crossJoin(within.withColumnRenamed("pairs", "own")).select((F.col("pairs") - F.col("own")).alias("candidate_pairs"))
 
 
 def should_compare(prints: DataFrame) -> DataFrame:
@@ -147,10 +215,11 @@ def number(grouped: DataFrame, size: str, first: str) -> DataFrame:
     return ordered.join(before, "_p").withColumn("entity_no", n.cast("bigint")).withColumn("entity_id", F.concat(F.lit("ENT-"), F.when(n < 10000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string")))).drop("_p", "_before")
 
 
-def runtime_stats(prints: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Records, all pairs, candidates, and the share of pairs that blocking saves."""
+def runtime_stats(prints: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Records, all pairs, candidates (``pairs`` counted, or without them by ``count_candidates``), and the share of pairs
+    that blocking saves."""
     n = prints.agg(F.count("*").alias("records"))
-    c = pairs.agg(F.count("*").alias("candidate_pairs"))
+    c = count_candidates(prints) if pairs is None else pairs.agg(F.count("*").alias("candidate_pairs"))
     every = (F.col("records") * (F.col("records") - 1) / 2).cast("bigint")
     return n.join(c).select("records", every.alias("all_pairs"), "candidate_pairs", F.when(every > 0, F.floor((1 - F.col("candidate_pairs") / every) * 10000 + 0.5)).otherwise(0).cast("bigint").alias("reduction_bp"))
 

@@ -146,6 +146,22 @@ def test_blocking_equals_the_theta_join(prints):
     assert (stats["records"], stats["all_pairs"], stats["candidate_pairs"]) == (7, 21, len(pairs))
 
 
+@pytest.mark.parametrize("piece", [3, 2048])
+def test_pairs_of_rows_are_given_once_and_counted(spark, monkeypatch, piece):
+    """Against all pairs of rows, with repeated, null and missing values, and blocks in several pieces."""
+    monkeypatch.setattr(resolve, "PIECE", piece)
+    rng = random.Random(7)
+    pick = lambda *v: rng.choice(v)
+    rows = [(pick(None, *[f"r:{i}" for i in range(60)]), pick("ali khan", "amir khan", "bilal khan", "ali butt", "bilal", "", "a|b khan"), pick("", None, "1", "2", "3"), pick("lahore", "multan", "", None, "lahore|a"), pick("", "5 gulberg", "6 gulberg", None)) for _ in range(90)]
+    prints = spark.createDataFrame(rows, "record_id string, norm_name string, phone string, city string, block_key string")
+    hand = Counter(map(tuple, resolve.should_compare(prints.fillna("", ["phone", "city", "block_key"])).collect()))
+    assert max(hand.values()) > 1
+    assert Counter(map(tuple, resolve.candidate_pairs(prints).collect())) == hand
+    counted = resolve.runtime_stats(prints).first()
+    assert (counted["records"], counted["candidate_pairs"]) == (90, sum(hand.values()))
+    assert resolve.runtime_stats(prints.limit(0)).first()["candidate_pairs"] == 0 and resolve.candidate_pairs(prints.limit(0)).count() == 0
+
+
 def test_scores_and_entities(prints):
     scored = resolve.compare(prints, resolve.candidate_pairs(prints)).cache()
     got = {(r["left_id"], r["right_id"]): r for r in scored.collect()}
