@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,6 +32,39 @@ def sequence_bound(left: Column, right: Column) -> Column:
     return F.when((a > 0) & (b > 0), 2.0 * F.least(a, b) / (a + b)).otherwise(0.0)
 
 
+_BIT = {c: 1 << i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ./-")}
+
+
+def _letters(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        once, twice, thrice, rest = 0, 0, 0, 0
+        for c in text or "":
+            # All other characters count as one.
+            bit = _BIT.get(c, 1 << 40)
+            if not once & bit:
+                once |= bit
+            elif not twice & bit:
+                twice |= bit
+            elif not thrice & bit:
+                thrice |= bit
+            else:
+                rest += 1
+        rows.append((once, twice, thrice, rest))
+    return pd.DataFrame(rows, columns=["once", "twice", "thrice", "rest"], dtype="int64")
+
+
+def letters(text: Column) -> Column:
+    """Which characters a text has once, twice and three times at least, as bits, and how many beyond."""
+    return F.pandas_udf(_letters, "once long, twice long, thrice long, rest long")(text)
+
+
+def letters_bound(a: Column, b: Column, length_a: Column, length_b: Column) -> Column:
+    """What the score of two texts can be at most, from their ``letters``; native."""
+    common = reduce(Column.__add__, [F.bit_count(a[c].bitwiseAND(b[c])) for c in ("once", "twice", "thrice")]) + F.least(a["rest"], b["rest"])
+    return F.when((length_a > 0) & (length_b > 0), 2.0 * common / (length_a + length_b)).otherwise(0.0)
+
+
 def name_profile(norm_name: Column) -> list[Column]:
     """Columns of a fingerprint that pair scoring needs, computed once per record and not per pair."""
     tokens = T.name_tokens(norm_name)

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daftar.functions import text as T
-from daftar.functions.similarity import name_profile, sequence_bound, sequence_score
+from daftar.functions.similarity import letters, letters_bound, name_profile, sequence_bound, sequence_score
 from daftar.operators.components import components
-from daftar.runtime import cut, width
+from daftar.runtime import cut, small, spread, width
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
@@ -40,11 +40,12 @@ def blocking_keys(tokens: Column) -> Column:
 PIECE = 2048
 
 
-def blocked(prints: DataFrame) -> DataFrame:
+def blocked(prints: DataFrame, *more: str) -> DataFrame:
     """record_id and what the blocking keys are made of, empty where it is missing, of the rows that have an id."""
     tokens = T.name_tokens(F.col("norm_name"))
     filled = [F.coalesce(c, F.lit("")).alias(c) for c in ("phone", "city", "block_key")]
-    return prints.filter("record_id is not null").select("record_id", *filled, T.surname(tokens).alias("last"), T.first_initial(tokens).alias("first"))
+    more = [c for c in more if c != "phone"]
+    return prints.filter("record_id is not null").select("record_id", *filled, T.surname(tokens).alias("last"), T.first_initial(tokens).alias("first"), *more)
 
 
 #: The blocking keys; a pair belongs to the first one that it shares, the largest blocks come first.
@@ -52,7 +53,13 @@ KEYS = (("city", "first"), ("first", "last"), ("city", "last"), ("block_key",),
 
 
 def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """(left_id, right_id), left smaller: every two rows that share a key, once.
+    """(left_id, right_id), left smaller: every two rows that share a key, once."""
+    return candidates(prints).select(F.col("l_record_id").alias("left_id"), F.col("r_record_id").alias("right_id"))
+
+
+def candidates(prints: DataFrame, *more: str) -> DataFrame:
+    """Every two rows that share a key, once: the columns of ``blocked`` but the phone, and ``more``, of both
+    (l_..., r_...).
 
     A pair is given by the first key that it shares, so the pairs need not be made distinct and nothing as long as
     the result is shuffled. The rows of a block stand in pieces by order of their ids, and each two pieces meet in a
@@ -62,20 +69,20 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
     there = lambda key: reduce(Column.__and__, [F.col(c) != "" for c in key])
     keys = F.array_compact(F.array(*[F.when(there(key), F.struct(F.lit(k).alias("k"), part(key, 0).alias("x"), part(key, 1).alias("y"))) for k, key in enumerate(KEYS)]))
     block = Window.partitionBy("k", "x", "y")
-    rows = blocked(prints).select("record_id", "city", "block_key", "last", "first", F.explode(keys).alias("key")).select("*", "key.*").drop("key")
+    carried = ["record_id", "city", "block_key", "last", "first", *more]
+    rows = blocked(prints, *more).select(*carried, F.explode(keys).alias("key")).select("*", "key.*").drop("key")
     # Equal ids have one rank, so they are never in two pieces.
     ranked = rows.withColumn("rank", F.rank().over(block.orderBy("record_id"))).withColumn("n", F.count("*").over(block)).filter("n > 1")
     piece = lambda c: F.floor((F.col(c) - 1) / PIECE).cast("int")
     dealt = cut(ranked.withColumns({"piece": piece("rank"), "pieces": piece("n")}).drop("rank"))
     met = dealt.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
     parts = max(width(spark), min(met // PAIRS_OF_A_TASK, 10_000))
-    side = lambda s, i, j: dealt.select("k", "x", "y", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{s}_{c}") for c in ("record_id", "city", "block_key", "last", "first")]).repartition(parts, "k", "x", "y", "i", "j")
+    side = lambda s, i, j: dealt.select("k", "x", "y", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{s}_{c}") for c in carried]).repartition(parts, "k", "x", "y", "i", "j")
     a = side("l", F.col("piece"), F.explode(F.sequence("piece", "pieces")))
     b = side("r", F.explode(F.sequence(F.lit(0), F.col("piece"))), F.col("piece"))
     shared = lambda key: reduce(Column.__and__, [(F.col(f"l_{c}") == F.col(f"r_{c}")) & (F.col(f"l_{c}") != "") for c in key])
     first = reduce(lambda later, k: (F.col("k") == k) | (~shared(KEYS[k]) & later), range(len(KEYS) - 2, -1, -1), F.lit(True))
-    pairs = a.join(b, ["k", "x", "y", "i", "j"]).filter((F.col("l_record_id") < F.col("r_record_id")) & first)
-    return pairs.select(F.col("l_record_id").alias("left_id"), F.col("r_record_id").alias("right_id"))
+    return a.join(b, ["k", "x", "y", "i", "j"]).filter((F.col("l_record_id") < F.col("r_record_id")) & first)
 
 
 #: Candidates that one task goes through.
@@ -147,33 +154,76 @@ def compare(prints: DataFrame, pairs: DataFrame, exact: bool = True, rejects: bo
     li, ri = F.col("l_inits"), F.col("r_inits")
     features = joined.select(
         "left_id", "right_id", "l_sorted_aliases", "r_sorted_aliases", "l_norm_address", "r_norm_address",
-        T.jaccard(F.col("l_aliases"), F.col("r_aliases")).alias("token_jaccard"), T.jaccard(F.col("l_codes"), F.col("r_codes")).alias("phonetic"), T.cosine_of_counts(F.col("l_grams"), F.col("r_grams")).alias("ngram"),
+        *_name_similarities(),
         both("phone").alias("same_phone"), both("city").alias("same_city"), both("surname").alias("same_surname"), both("first").alias("same_first"),
         ((li != "") & (ri != "") & (li.startswith(ri) | ri.startswith(li) | (both("surname") & both("first")))).alias("initials_ok"),
     )
     f = {"phone": F.col("same_phone"), "city": F.col("same_city"), "surname": F.col("same_surname"), "first": F.col("same_first"), "initials": F.col("initials_ok")}
-    named = (F.col("l_sorted_aliases") != "") & (F.col("r_sorted_aliases") != "")
-    soft = F.greatest(0.92 * F.col("phonetic"), 0.9 * F.col("ngram"))
-    name_of = lambda seq: F.greatest(F.when(named, F.greatest(F.col("token_jaccard"), seq, soft)).otherwise(0.0), soft)
     words, place = (F.col("l_sorted_aliases"), F.col("r_sorted_aliases")), (F.col("l_norm_address"), F.col("r_norm_address"))
     compared = {"seq": sequence_score(*words), "address_score": sequence_score(*place)}
     if exact and rejects:
         scored = features.withColumns(compared)
     elif exact:
-        bound = _score(name_of(sequence_bound(*words)), sequence_bound(*place), f)
+        bound = _score(_name_score(sequence_bound(*words)), sequence_bound(*place), f)
         open_pairs = features.filter(bound >= 57.95)
         scored = open_pairs.withColumns(compared).unionByName(
             features.filter(~(bound >= 57.95)).withColumns({"seq": F.lit(0.0), "address_score": F.lit(0.0)})
         )
     else:
         scored = features.withColumns({"seq": F.lit(0.0), "address_score": F.when(both_equal(*place), 1.0).otherwise(0.0)})
-    scored = scored.withColumn("name_score", name_of(F.col("seq")))
+    scored = scored.withColumn("name_score", _name_score(F.col("seq")))
     confidence = T.round_half_even(_score(F.col("name_score"), F.col("address_score"), f), 1)
     out = scored.withColumn("confidence", confidence)
     decision = F.when(F.col("confidence") >= 72, "match").when(F.col("confidence") >= 58, "possible").otherwise("reject")
     return out.select("left_id", "right_id", "confidence", decision.alias("decision"), "name_score", "address_score", "token_jaccard", "phonetic", "ngram", "same_phone", "same_city", "same_surname", "same_first", "initials_ok")
 
 
+#: Bound of a score from which a pair may be a match; matches begin at 71.95, the rest is for rounding.
+OPEN = 71.9
+
+
+def matches(prints: DataFrame) -> DataFrame:
+    """(left_id, right_id, decision): the candidates that ``compare`` calls a match.
+
+    What can't be one is left early: by the letters that two addresses have in common, which bound their score, then by
+    the exact score of the names. Names and addresses are compared once for each two distinct ones."""
+    tokens = T.name_tokens(F.col("norm_name"))
+    texts = prints.withColumns({"norm_name": F.coalesce("norm_name", F.lit("")), "norm_address": F.coalesce("norm_address", F.lit(""))})
+    described = cut(spread(texts).withColumns({"inits": T.initials(tokens), "letters": letters(F.col("norm_address"))}))
+    met = candidates(described, "phone", "norm_name", "norm_address", "inits", "letters")
+    both = lambda c: both_equal(F.col(f"l_{c}"), F.col(f"r_{c}"))
+    li, ri = F.col("l_inits"), F.col("r_inits")
+    flags = {"same_phone": both("phone"), "same_city": both("city"), "same_surname": both("last"), "same_first": both("first")}
+    flags["initials_ok"] = (li != "") & (ri != "") & (li.startswith(ri) | ri.startswith(li) | (flags["same_surname"] & flags["same_first"]))
+    kinds = dict(zip(("phone", "city", "surname", "first", "initials"), flags))
+    bound = letters_bound(F.col("l_letters"), F.col("r_letters"), F.length("l_norm_address"), F.length("r_norm_address"))
+    some = met.filter(_score(F.lit(1.0), bound, {k: flags[c] for k, c in kinds.items()}) >= OPEN)
+    some = cut(some.select(F.col("l_record_id").alias("left_id"), F.col("r_record_id").alias("right_id"), "l_norm_name", "r_norm_name", "l_norm_address", "r_norm_address", *[c.alias(n) for n, c in flags.items()], bound.alias("bound")))
+    wide = 4 * width(prints.sparkSession)
+    profiles = small(cut(described.select("norm_name").distinct().select("norm_name", *name_profile(F.col("norm_name")))))
+    side = lambda s: profiles.select(*[F.col(c).alias(f"{s}_{c}") for c in ("norm_name", "aliases", "codes", "grams", "sorted_aliases")])
+    pairs = some.select("l_norm_name", "r_norm_name").distinct().repartition(wide).join(side("l"), "l_norm_name").join(side("r"), "r_norm_name")
+    alike = pairs.select("l_norm_name", "r_norm_name", *_name_similarities(), sequence_score(F.col("l_sorted_aliases"), F.col("r_sorted_aliases")).alias("seq"), "l_sorted_aliases", "r_sorted_aliases")
+    named = small(cut(alike.select("l_norm_name", "r_norm_name", _name_score(F.col("seq")).alias("name_score"))))
+    f = {k: F.col(c) for k, c in kinds.items()}
+    left = cut(some.join(named, ["l_norm_name", "r_norm_name"]).drop("l_norm_name", "r_norm_name").filter(_score(F.col("name_score"), F.col("bound"), f) >= OPEN), instead_of=some)
+    placed = left.select("l_norm_address", "r_norm_address").distinct().repartition(wide)
+    placed = small(cut(placed.withColumn("address_score", sequence_score(F.col("l_norm_address"), F.col("r_norm_address")))))
+    scored = left.join(placed, ["l_norm_address", "r_norm_address"]).filter(T.round_half_even(_score(F.col("name_score"), F.col("address_score"), f), 1) >= 72)
+    return scored.select("left_id", "right_id", F.lit("match").alias("decision"))
+
+
+def _name_similarities() -> list[Column]:
+    """Of the profiles l_... and r_... of two names."""
+    return [T.jaccard(F.col("l_aliases"), F.col("r_aliases")).alias("token_jaccard"), T.jaccard(F.col("l_codes"), F.col("r_codes")).alias("phonetic"), T.cosine_of_counts(F.col("l_grams"), F.col("r_grams")).alias("ngram")]
+
+
+def _name_score(seq: Column) -> Column:
+    named = (F.col("l_sorted_aliases") != "") & (F.col("r_sorted_aliases") != "")
+    soft = F.greatest(0.92 * F.col("phonetic"), 0.9 * F.col("ngram"))
+    return F.greatest(F.when(named, F.greatest(F.col("token_jaccard"), seq, soft)).otherwise(0.0), soft)
+
+
 def both_equal(a: Column, b: Column) -> Column:
     return (a == b) & (a != "")
 

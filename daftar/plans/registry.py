@@ -274,8 +274,7 @@ def numbered_clusters(spark, d):
 def entities(spark, d):
     """Entities by pair scoring over the fingerprints: name, size, addresses, phones."""
     prints = cut(_prints(spark, d))
-    scored = cut(resolve.compare(prints, resolve.candidate_pairs(prints)))
-    found = resolve.entities(prints, resolve.clusters(prints, scored))
+    found = resolve.entities(prints, resolve.clusters(prints, resolve.matches(prints)))
     return found.select("entity_id", "canonical_name", "size", F.array_join("addresses", " | ").alias("addresses"), F.array_join("phones", " | ").alias("phones"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daftar.functions import text as T
-from daftar.functions.similarity import sequence_score
+from daftar.functions.similarity import letters, letters_bound, sequence_score
 from daftar.operators import components, graph, ingest, resolve
 from daftar.plans import registry
 
@@ -173,6 +173,27 @@ def test_scores_and_entities(prints):
     assert next(r for r in found if r["entity_id"] == "ENT-0001")["size"] == max(r["size"] for r in found)
 
 
+def test_matches_are_those_of_all_comparisons(spark, monkeypatch):
+    """Pruned by bounds and compared by distinct texts, the matches are those of every pair compared in full; no pair is
+    compared one by one."""
+    more = "/root/testdata/sf0.01"
+    of = registry._prints(spark, more)
+    scored = resolve.compare(of, resolve.candidate_pairs(of), rejects=True).filter("decision = 'match'")
+    full = {(r["left_id"], r["right_id"]) for r in scored.collect()}
+    monkeypatch.setattr(resolve, "compare", None)
+    assert Counter(map(tuple, resolve.matches(of).select("left_id", "right_id").collect())) == Counter(full) and len(full) > 5
+    assert registry.queries()["entities"](spark, more).count() == len(set(hand_components([r["record_id"] for r in of.select("record_id").collect()], full).values()))
+
+
+def test_letters_bound_the_score(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aaaab c5é-ü") for _ in range(rng.randint(0, 14))) for _ in range(60)]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string").repartition(4)
+    a, b = F.col("a"), F.col("b")
+    got = df.select(letters_bound(letters(a), letters(b), F.length(a), F.length(b)).alias("bound"), sequence_score(a, b).alias("score")).collect()
+    assert all(r["score"] <= r["bound"] <= 1 for r in got) and any(r["score"] == r["bound"] > 0 for r in got)
+
+
 def test_pruning_keeps_decisions(prints):
     pairs = resolve.candidate_pairs(prints)
     scored = resolve.compare(prints, pairs).filter("decision <> 'reject'").select("left_id", "right_id").collect()
