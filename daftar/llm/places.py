@@ -473,34 +473,58 @@ def read_addresses(records: DataFrame, column: str) -> DataFrame:
     return spread(records).withColumn("_r", read(F.col(column))).select("*", "_r.*").drop("_r")
 
 
+def usual_pairs(placed: DataFrame) -> DataFrame:
+    """(a, b, x, y), a smaller: pairs of addresses (id, at, naming, usual) with the same numbers where the usual words of
+    one, of which it has some, are among the other's; and their namings. So the other has the rarest one of them, which
+    few share."""
+    one = placed.filter(F.size("usual") > 0).select(F.col("id").alias("a"), "at", F.col("naming").alias("x"), F.col("usual").alias("ux"), F.get("usual", F.lit(0)).alias("word"))
+    two = placed.select(F.col("id").alias("b"), "at", F.col("naming").alias("y"), F.col("usual").alias("uy"), F.explode("usual").alias("word"))
+    within = one.join(two, ["at", "word"]).filter((F.col("a") != F.col("b")) & (F.size(F.array_except("ux", "uy")) == 0))
+    turned = F.col("a") > F.col("b")
+    swap = lambda p, q: F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p)
+    return within.select(swap("a", "b"), swap("b", "a"), swap("x", "y"), swap("y", "x")).distinct()
+
+
 def alike_addresses(keys: DataFrame, threshold: float = ALIKE) -> DataFrame:
     """(a, b), a smaller: all pairs of distinct addresses (id, at, naming) with the same numbers whose vectors have a
     cosine of ``threshold`` or more and whose words don't contradict: they do where each address has a usual word
     that the other lacks (two colonies on one road), as two house numbers do. A word that isn't usual may be a spelling
-    of any other. The weight of a word, shared by its n-grams, is its rarity among addresses."""
-    words = keys.select("id", "at", F.explode(F.split("naming", " ")).alias("word"))
+    of any other. The weight of a word, shared by its n-grams, is its rarity among addresses.
+
+    What contradicts is never paired: usual words are a key, and n-grams only where an address has no usual word. Vectors
+    are made for the namings that are left, and each two of these are compared once, whatever their numbers."""
+    words = keys.select(F.explode(F.split("naming", " ")).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("df"))
     total = counted.agg(F.sum("df").alias("total"))
-    rarity = cut(counted.crossJoin(F.broadcast(total)).select("word", (F.log1p(F.col("total") / F.col("df")) / F.sqrt(F.length("word") + 1.0)).alias("w"), (F.col("df") > F.greatest(F.lit(5), F.col("total") * RARE)).alias("often")))
+    rarity = cut(counted.crossJoin(F.broadcast(total)).select("word", "df", (F.log1p(F.col("total") / F.col("df")) / F.sqrt(F.length("word") + 1.0)).alias("w"), (F.col("df") > F.greatest(F.lit(5), F.col("total") * RARE)).alias("often")))
     several = keys.groupBy("at").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("at")
-    near = keys.join(several, "at", "left_semi")
-    weighed = near.select("id", "at", F.explode(F.split("naming", " ")).alias("word")).join(small(rarity), "word")
-    usual = weighed.groupBy("id").agg(F.collect_set(F.when(F.col("often"), F.col("word"))).alias("usual"))
-    terms = weighed.select("id", "at", "w", F.explode(_grams(F.col("word"))).alias("gram")).groupBy("id", "at", "gram").agg(F.sum("w").alias("w"))
+    near = cut(keys.join(several, "at", "left_semi").select("id", "at", "naming"))
+    spelt = lambda named: named.distinct().select("naming", F.explode(F.split("naming", " ")).alias("word")).join(small(rarity), "word")
+    listed = F.transform(F.array_sort(F.collect_set(F.when(F.col("often"), F.struct("df", "word")))), lambda u: u["word"])
+    usual = cut(spelt(near.select("naming")).groupBy("naming").agg(listed.alias("usual")))
+    placed = near.join(small(usual), "naming")
+    within = cut(usual_pairs(placed))
+    bare = cut(placed.filter(F.size("usual") == 0).select("at").distinct())
+    beside = cut(placed.join(small(bare), "at", "left_semi").select("id", "at", "naming", (F.size("usual") == 0).alias("bare")))
+    left = within.select(F.explode(F.array("x", "y")).alias("naming")).unionAll(beside.select("naming"))
+    terms = spelt(left).select("naming", "w", F.explode(_grams(F.col("word"))).alias("gram")).groupBy("naming", "gram").agg(F.sum("w").alias("w"))
     # n-grams of two letters are at most 28 x 28.
     order = F.broadcast(terms.groupBy("gram").agg(F.count("*").alias("df")))
     listed = F.sort_array(F.collect_list(F.struct("df", "gram", "w")))
-    vectors = cut(terms.join(order, "gram").groupBy("id", "at").agg(listed.alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).join(usual, "id"))
-    left = lambda i: F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])
-    prefix = vectors.select("id", "at", F.explode(F.filter("v", lambda x, i: left(i) >= F.col("norm") * F.col("norm") * threshold**2 - 1e-9)).alias("x")).select("id", "at", "x.gram")
-    pairs = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), ["at", "gram"]).filter("a < b").select("a", "b").distinct()
-    one = vectors.select(F.col("id").alias("a"), F.col("v").alias("x"), F.col("norm").alias("nx"), F.col("usual").alias("ux"))
-    two = vectors.select(F.col("id").alias("b"), F.col("v").alias("y"), F.col("norm").alias("ny"), F.col("usual").alias("uy"))
-    weights = F.map_from_entries(F.transform("y", lambda e: F.struct(e["gram"], e["w"])))
-    dot = F.aggregate("x", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at("m", e["gram"]), F.lit(0.0)))
-    compatible = (F.size(F.array_except("ux", "uy")) == 0) | (F.size(F.array_except("uy", "ux")) == 0)
-    scored = pairs.join(one, "a").join(two, "b").filter(compatible).withColumn("m", weights).select("a", "b", (dot / (F.col("nx") * F.col("ny"))).alias("cosine"))
-    return scored.filter(F.col("cosine") >= threshold).select("a", "b")
+    vectors = cut(terms.join(order, "gram").groupBy("naming").agg(listed.alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+    rest = lambda i: F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])
+    prefix = vectors.select("naming", F.explode(F.filter("v", lambda x, i: rest(i) >= F.col("norm") * F.col("norm") * threshold**2 - 1e-9)).alias("x")).select("naming", "x.gram")
+    keyed = beside.join(prefix, "naming")
+    one = keyed.select(F.col("id").alias("a"), "at", "gram", F.col("naming").alias("x"), F.col("bare").alias("bx"))
+    two = keyed.select(F.col("id").alias("b"), "at", "gram", F.col("naming").alias("y"), F.col("bare").alias("by"))
+    alone = one.join(two, ["at", "gram"]).filter((F.col("a") < F.col("b")) & (F.col("bx") | F.col("by"))).select("a", "b", "x", "y").distinct()
+    # With a usual word, and without: no pair is in both.
+    pairs = cut(within.unionAll(alone))
+    one = vectors.select(F.col("naming").alias("x"), F.col("v").alias("vx"), F.col("norm").alias("nx"))
+    two = vectors.select(F.col("naming").alias("y"), F.map_from_entries(F.transform("v", lambda e: F.struct(e["gram"], e["w"]))).alias("m"), F.col("norm").alias("ny"))
+    dot = F.aggregate("vx", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at("m", e["gram"]), F.lit(0.0)))
+    scored = pairs.select("x", "y").distinct().join(one, "x").join(two, "y").select("x", "y", (dot / (F.col("nx") * F.col("ny"))).alias("cosine"))
+    return pairs.join(scored.filter(F.col("cosine") >= threshold).select("x", "y"), ["x", "y"], "left_semi").select("a", "b")
 
 
 def place_ids(placed: DataFrame) -> DataFrame:

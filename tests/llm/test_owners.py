@@ -231,6 +231,17 @@ def test_every_alike_address_is_linked(spark):
         assert least <= hand and (0, 4) not in hand
 
 
+def test_contradicting_addresses_are_not_paired(spark):
+    """At one number, of 400 namings in two usual words each only those are paired whose usual words are among another's."""
+    words = [a + b for a in ("kogedi", "rutaso", "lalaza", "mehrab") for b in ("tasanu", "dimela", "rbaghu", "vinoro", "shisha")]
+    named = [(i, "h1|", " ".join(sorted((x, y))), sorted((x, y))) for i, (x, y) in enumerate((x, y) for x in words for y in words if x < y)]
+    named += [(900, "h1|", f"{words[0]}", [words[0]]), (901, "h2|", words[1], [words[1]]), (902, "h1|", "xyzzy", []), (903, "h1|", named[0][2] + " zzyzx", named[0][3])]
+    placed = spark.createDataFrame(named, "id long, at string, naming string, usual array<string>")
+    hand = {(i, j) for i, p, _, u in named for j, q, _, v in named if i < j and p == q and (u and set(u) <= set(v) or v and set(v) <= set(u))}
+    got = [(r["a"], r["b"]) for r in places.usual_pairs(placed).collect()]
+    assert len(got) == len(set(got)) and set(got) == hand and len(hand) == 21
+
+
 def test_places_by_kind_of_variation(spark):
     """Recall of labelled variants, by kind, over invented places; precision over all of them."""
     rng = random.Random(5)
