@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +27,62 @@ def sequence_score(left: Column, right: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(left, right)
 
 
+#: Letters up to which texts are compared many at once, the places of a letter as bits of a word.
+SHORT = 63
+
+
+def _matching(e: np.ndarray) -> np.ndarray:
+    """Characters in matching blocks of each pair. ``e``: where its letters agree, by letter of the left text (rows) and
+    pair (columns), a bit for each letter of the right one. As SequenceMatcher does, the longest run is taken, of equal
+    ones the first of the left text and then of the right one, and what is before and what is after it goes on."""
+    rows, one = np.arange(e.shape[0])[:, None], np.uint64(1)
+    total = np.zeros(e.shape[1], np.int64)
+    of = np.flatnonzero(e.any(axis=0))
+    e = e[:, of]
+    while of.size:
+        i, j, k = np.empty(of.size, np.int64), np.empty(of.size, np.uint64), np.empty(of.size, np.int64)
+        runs, open_, length = e, np.arange(of.size), 1
+        while open_.size:
+            longer = runs[:-1] & (runs[1:] >> one)
+            on = longer.any(axis=0)
+            done = open_[~on]
+            if done.size:
+                last = runs[:, ~on]
+                i[done], k[done] = (last != 0).argmax(axis=0), length
+                word = last[i[done], np.arange(done.size)]
+                j[done] = np.bitwise_count((word & (~word + one)) - one)
+            runs, open_, length = longer[:, on], open_[on], length + 1
+        total += np.bincount(of, k, total.size).astype(np.int64)
+        before = np.where(rows < i, e & ((one << j) - one), 0)
+        after = np.where(rows >= i + k, e & ~((one << (j + k.astype(np.uint64))) - one), 0)
+        x, y = before.any(axis=0), after.any(axis=0)
+        e, of = np.concatenate([before[:, x], after[:, y]], axis=1), np.concatenate([of[x], of[y]])
+    return total
+
+
+def ratios(texts: list[str], left: np.ndarray, right: np.ndarray, at_once: int = 8192) -> np.ndarray:
+    """The score of pairs of texts, given by their numbers in ``texts``: what ``sequence_score`` gives, many at once."""
+    length = np.array([len(t) for t in texts], np.int64)
+    known = {c: i for i, c in enumerate(sorted({c for t in texts if len(t) <= SHORT for c in t}), 1)}
+    letter, places = np.zeros((SHORT, len(texts)), np.int64), np.zeros((len(texts), len(known) + 1), np.uint64)
+    for x, text in enumerate(texts):
+        if len(text) <= SHORT:
+            for j, c in enumerate(text):
+                letter[j, x] = known[c]
+                places[x, known[c]] |= np.uint64(1 << j)
+    out = np.zeros(left.size)
+    short = (length[left] <= SHORT) & (length[right] <= SHORT)
+    for pair in np.flatnonzero(~short):
+        out[pair] = _ratio(texts[left[pair]], texts[right[pair]])
+    some = np.flatnonzero(short & (length[left] > 0) & (length[right] > 0))
+    for start in range(0, some.size, at_once):
+        now = some[start : start + at_once]
+        a, b = left[now], right[now]
+        common = _matching(places.ravel()[letter[: length[a].max()][:, a] + b * places.shape[1]])
+        out[now] = 2.0 * common / (length[a] + length[b])
+    return out
+
+
 def sequence_bound(left: Column, right: Column) -> Column:
     """What the score can be at most, from the lengths; native."""
     a, b = F.length(left), F.length(right)

@@ -52,6 +52,24 @@ def blocked(prints: DataFrame, *more: str) -> DataFrame:
 KEYS = (("city", "first"), ("first", "last"), ("city", "last"), ("block_key",), ("phone",))
 
 
+def dealt(prints: DataFrame, of_a_task: int, *more: str) -> tuple[DataFrame, list[str], int]:
+    """The rows of blocks of two and more (k, x, y), with their piece, the last piece and the carried columns; the names of
+    these; and how many tasks to meet in."""
+    spark = prints.sparkSession
+    part = lambda key, i: F.col(key[i]) if i < len(key) else F.lit("")
+    there = lambda key: reduce(Column.__and__, [F.col(c) != "" for c in key])
+    keys = F.array_compact(F.array(*[F.when(there(key), F.struct(F.lit(k).alias("k"), part(key, 0).alias("x"), part(key, 1).alias("y"))) for k, key in enumerate(KEYS)]))
+    block = Window.partitionBy("k", "x", "y")
+    carried = ["record_id", "city", "block_key", "last", "first", *more]
+    rows = blocked(prints, *more).select(*carried, F.explode(keys).alias("key")).select("*", "key.*").drop("key")
+    # Equal ids have one rank, so they are never in two pieces.
+    ranked = rows.withColumn("rank", F.rank().over(block.orderBy("record_id"))).withColumn("n", F.count("*").over(block)).filter("n > 1")
+    piece = lambda c: F.floor((F.col(c) - 1) / PIECE).cast("int")
+    blocks = cut(ranked.withColumns({"piece": piece("rank"), "pieces": piece("n")}).drop("rank"))
+    met = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
+    return blocks, carried, max(width(spark), min(met // of_a_task, 10_000))
+
+
 def candidate_pairs(prints: DataFrame) -> DataFrame:
     """(left_id, right_id), left smaller: every two rows that share a key, once."""
     return candidates(prints).select(F.col("l_record_id").alias("left_id"), F.col("r_record_id").alias("right_id"))
@@ -64,20 +82,8 @@ def candidates(prints: DataFrame, *more: str) -> DataFrame:
     A pair is given by the first key that it shares, so the pairs need not be made distinct and nothing as long as
     the result is shuffled. The rows of a block stand in pieces by order of their ids, and each two pieces meet in a
     place of their own: what moves beside the rows is a thousandth of the result, and no block is one task's."""
-    spark = prints.sparkSession
-    part = lambda key, i: F.col(key[i]) if i < len(key) else F.lit("")
-    there = lambda key: reduce(Column.__and__, [F.col(c) != "" for c in key])
-    keys = F.array_compact(F.array(*[F.when(there(key), F.struct(F.lit(k).alias("k"), part(key, 0).alias("x"), part(key, 1).alias("y"))) for k, key in enumerate(KEYS)]))
-    block = Window.partitionBy("k", "x", "y")
-    carried = ["record_id", "city", "block_key", "last", "first", *more]
-    rows = blocked(prints, *more).select(*carried, F.explode(keys).alias("key")).select("*", "key.*").drop("key")
-    # Equal ids have one rank, so they are never in two pieces.
-    ranked = rows.withColumn("rank", F.rank().over(block.orderBy("record_id"))).withColumn("n", F.count("*").over(block)).filter("n > 1")
-    piece = lambda c: F.floor((F.col(c) - 1) / PIECE).cast("int")
-    dealt = cut(ranked.withColumns({"piece": piece("rank"), "pieces": piece("n")}).drop("rank"))
-    met = dealt.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
-    parts = max(width(spark), min(met // PAIRS_OF_A_TASK, 10_000))
-    side = lambda s, i, j: dealt.select("k", "x", "y", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{s}_{c}") for c in carried]).repartition(parts, "k", "x", "y", "i", "j")
+    blocks, carried, parts = dealt(prints, PAIRS_OF_A_TASK, *more)
+    side = lambda s, i, j: blocks.select("k", "x", "y", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{s}_{c}") for c in carried]).repartition(parts, "k", "x", "y", "i", "j")
     a = side("l", F.col("piece"), F.explode(F.sequence("piece", "pieces")))
     b = side("r", F.explode(F.sequence(F.lit(0), F.col("piece"))), F.col("piece"))
     shared = lambda key: reduce(Column.__and__, [(F.col(f"l_{c}") == F.col(f"r_{c}")) & (F.col(f"l_{c}") != "") for c in key])
@@ -172,10 +178,14 @@ def compare(prints: DataFrame, pairs: DataFrame, exact: bool = True, rejects: bo
     else:
         scored = features.withColumns({"seq": F.lit(0.0), "address_score": F.when(both_equal(*place), 1.0).otherwise(0.0)})
     scored = scored.withColumn("name_score", _name_score(F.col("seq")))
-    confidence = T.round_half_even(_score(F.col("name_score"), F.col("address_score"), f), 1)
-    out = scored.withColumn("confidence", confidence)
-    decision = F.when(F.col("confidence") >= 72, "match").when(F.col("confidence") >= 58, "possible").otherwise("reject")
-    return out.select("left_id", "right_id", "confidence", decision.alias("decision"), "name_score", "address_score", "token_jaccard", "phonetic", "ngram", "same_phone", "same_city", "same_surname", "same_first", "initials_ok")
+    return decided(scored).select("left_id", "right_id", "confidence", "decision", "name_score", "address_score", "token_jaccard", "phonetic", "ngram", "same_phone", "same_city", "same_surname", "same_first", "initials_ok")
+
+
+def decided(scored: DataFrame) -> DataFrame:
+    """With the confidence and decision of each pair, from its two scores and what agrees."""
+    f = {"phone": F.col("same_phone"), "city": F.col("same_city"), "surname": F.col("same_surname"), "first": F.col("same_first"), "initials": F.col("initials_ok")}
+    out = scored.withColumn("confidence", T.round_half_even(_score(F.col("name_score"), F.col("address_score"), f), 1))
+    return out.withColumn("decision", F.when(F.col("confidence") >= 72, "match").when(F.col("confidence") >= 58, "possible").otherwise("reject"))
 
 
 #: Bound of a score from which a pair may be a match; matches begin at 71.95, the rest is for rounding.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar.functions import text as T
-from daftar.operators import components, graph, ingest, resolve
+from daftar.operators import components, graph, ingest, resolve, scores
 from daftar.plans import sqltext as S
 from daftar.runtime import cut, table
 from daftar.sources import rejects
@@ -225,8 +225,7 @@ def blocking_stats(spark, d):
 @query()
 def pair_scores(spark, d):
     """Confidence, decision and reasons of every candidate pair."""
-    prints = _prints(spark, d)
-    scored = resolve.reasons(resolve.compare(prints, resolve.candidate_pairs(prints), rejects=True))
+    scored = resolve.reasons(scores.scores(_prints(spark, d)))
     return scored.select("left_id", "right_id", "confidence", "decision", F.round("name_score", 3).alias("name_score"), F.round("address_score", 3).alias("address_score"), F.array_join("reasons", "; ").alias("reasons"))
 
 

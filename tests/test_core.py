@@ -2,13 +2,15 @@ import math
 import random
 import unicodedata
 from collections import Counter
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from daftar.functions import text as T
-from daftar.functions.similarity import letters, letters_bound, sequence_score
-from daftar.operators import components, graph, ingest, resolve
+from daftar.functions.similarity import letters, letters_bound, ratios, sequence_score
+from daftar.operators import components, graph, ingest, resolve, scores
 from daftar.plans import registry
 
 
@@ -185,6 +187,36 @@ def test_matches_are_those_of_all_comparisons(spark, monkeypatch):
     assert registry.queries()["entities"](spark, more).count() == len(set(hand_components([r["record_id"] for r in of.select("record_id").collect()], full).values()))
 
 
+def test_ratios_are_those_of_sequence_matcher():
+    rng = random.Random(3)
+    texts = ["", "é-ü", *["".join(rng.choice("aab c5") for _ in range(rng.choice((1, 5, 17, 62, 63, 64, 90, 230)))) for _ in range(70)]]
+    left, right = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    hand = [SequenceMatcher(None, texts[a], texts[b]).ratio() if texts[a] and texts[b] else 0.0 for a, b in zip(left, right)]
+    assert ratios(texts, left, right, 500).tolist() == hand
+
+
+@pytest.mark.parametrize("piece", [7, 2048])
+def test_pair_scores_are_those_of_single_comparisons(spark, monkeypatch, piece):
+    """Scored as arrays within their blocks, all pairs have what comparing each of them gives; no pair is joined to texts."""
+    more = "/root/testdata/sf0.001" if piece == 7 else "/root/testdata/sf0.01"
+    of = registry._prints(spark, more)
+    same = ["left_id", "right_id", "confidence", "decision", "name_score", "address_score", "same_phone", "same_city", "same_surname", "same_first", "initials_ok"]
+    hand = Counter(map(tuple, resolve.compare(of, resolve.candidate_pairs(of), rejects=True).select(same).collect()))
+    monkeypatch.setattr(resolve, "compare", None)
+    monkeypatch.setattr(resolve, "PIECE", piece)
+    monkeypatch.setattr(scores, "AT_ONCE", 1000)
+    assert Counter(map(tuple, scores.scores(of).select(same).collect())) == hand and len(hand) > 50
+    assert registry.queries()["pair_scores"](spark, more).count() == sum(hand.values()) and scores.scores(of.limit(0)).count() == 0
+
+
+def test_pairs_of_repeated_ids_are_scored_once(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PIECE", 3)
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *[f"r:{i}" for i in range(30)]]), rng.choice(("ali khan", "amir khan", "ali butt", "", None)), rng.choice(("", None, "1", "2")), rng.choice(("lahore", "", None)), "", rng.choice(("h 5 st 2", None))) for _ in range(60)]
+    prints = spark.createDataFrame(rows, "record_id string, norm_name string, phone string, city string, block_key string, norm_address string")
+    assert Counter(map(tuple, scores.scores(prints).select("left_id", "right_id").collect())) == Counter(map(tuple, resolve.candidate_pairs(prints).collect()))
+
+
 def test_letters_bound_the_score(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice("aaaab c5é-ü") for _ in range(rng.randint(0, 14))) for _ in range(60)]
