@@ -187,5 +187,8 @@ def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 
 def round_half_even(value: Column, digits: int) -> Column:
-    """Rounding of the exact binary value, ties to even."""
-    return F.call_function("format_number", value, F.lit("0." + "0" * digits if digits else "0")).cast("double")
+    """Rounding of the exact binary value, ties to even. Texts are made only of what is near a tie or large."""
+    by = 10.0**digits
+    exact = F.call_function("format_number", value, F.lit("0." + "0" * digits if digits else "0")).cast("double")
+    scaled = value * by
+    return F.when((F.abs(scaled - F.floor(scaled) - 0.5) > 1e-6) & (F.abs(scaled) < 1e9), F.rint(scaled) / by).otherwise(exact)

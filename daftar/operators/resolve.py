@@ -184,7 +184,7 @@ def compare(prints: DataFrame, pairs: DataFrame, exact: bool = True, rejects: bo
 def decided(scored: DataFrame) -> DataFrame:
     """With the confidence and decision of each pair, from its two scores and what agrees."""
     f = {"phone": F.col("same_phone"), "city": F.col("same_city"), "surname": F.col("same_surname"), "first": F.col("same_first"), "initials": F.col("initials_ok")}
-    out = scored.withColumn("confidence", T.round_half_even(_score(F.col("name_score"), F.col("address_score"), f), 1))
+    out = scored.withColumn("_score", _score(F.col("name_score"), F.col("address_score"), f)).withColumn("confidence", T.round_half_even(F.col("_score"), 1)).drop("_score")
     return out.withColumn("decision", F.when(F.col("confidence") >= 72, "match").when(F.col("confidence") >= 58, "possible").otherwise("reject"))
 
 

@@ -2,6 +2,7 @@ import math
 import random
 import unicodedata
 from collections import Counter
+from decimal import ROUND_HALF_EVEN, Decimal
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -187,6 +188,14 @@ def test_matches_are_those_of_all_comparisons(spark, monkeypatch):
     assert registry.queries()["entities"](spark, more).count() == len(set(hand_components([r["record_id"] for r in of.select("record_id").collect()], full).values()))
 
 
+def test_rounding_is_of_the_exact_value(spark):
+    rng = random.Random(4)
+    values = [0.0, 0.05, 0.15, 0.25, -0.25, 57.95, 71.95, 100.0, 99.95, 1e12 + 0.05, *[rng.uniform(-5, 100) for _ in range(500)], *[k / 20 for k in range(2000)], *[math.nextafter(k / 20, 0) for k in range(1, 200)]]
+    hand = [float(Decimal(v).quantize(Decimal("0.1"), ROUND_HALF_EVEN)) for v in values]
+    df = spark.createDataFrame(list(zip(range(len(values)), values)), "i long, x double")
+    assert [r[1] for r in df.select("i", T.round_half_even(F.col("x"), 1)).orderBy("i").collect()] == hand
+
+
 def test_ratios_are_those_of_sequence_matcher():
     rng = random.Random(3)
     texts = ["", "é-ü", *["".join(rng.choice("aab c5") for _ in range(rng.choice((1, 5, 17, 62, 63, 64, 90, 230)))) for _ in range(70)]]
