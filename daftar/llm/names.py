@@ -3,7 +3,7 @@
 Method: a trie join. The distinct words of all names, folded by sound, are put into shards such that two
 words within the bounded distance share one; in each shard a trie is traversed with the bit-parallel
 Levenshtein automaton of every word (insertion, deletion, substitution, swap of neighbours), which yields
-all neighbours within the bound. Each word points to its most frequent neighbour, pointers are followed to
+all neighbours within the bound; for a bound of one edit they are looked up by the word without a letter. Each word points to its most frequent neighbour, pointers are followed to
 their root. A name is then the multiset of its canonical words: order doesn't count, which checks all
 permutations of its words at once, and initials stay open until a full name takes them.
 
@@ -22,7 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,52 +201,87 @@ def _shifted(mask: dict[str, int], c: str) -> int:
     return mask.get(c, 0)
 
 
+def lacking(word: str) -> set[str]:
+    """The word, and what is left of it without one of its letters: words one edit or one swap apart share one."""
+    return {word, *[word[:i] + word[i + 1 :] for i in range(len(word))]}
+
+
+def one_apart(a: str, b: str) -> bool:
+    """Whether two different words that share one of their ``lacking`` are one edit or one swap of neighbours apart."""
+    if len(a) != len(b):
+        return True
+    i = next(k for k, (x, y) in enumerate(zip(a, b)) if x != y)
+    return a[i + 1 :] == b[i + 1 :] or a[i] == b[i + 1] and a[i + 1] == b[i] and a[i + 2 :] == b[i + 2 :]
+
+
+def search(rows: list[tuple[str, bool, bool]], most: int) -> list[tuple[str, str, int]]:
+    """(word, other, edits) of a shard, given as (word, is searched, searches). One edit needs no trie: words are looked up
+    by what they lack."""
+    if most == 1:
+        index: dict[str, list[str]] = {}
+        for w, searched, _ in rows:
+            if searched and len(w) > 2:
+                for k in lacking(w):
+                    index.setdefault(k, []).append(w)
+        if not index:
+            return []
+        found = []
+        for w, _, searches in rows:
+            if searches and len(w) > 2:
+                met = {o for k in lacking(w) for o in index.get(k, ())}
+                found += [(w, o, 1) for o in met if o != w and one_apart(w, o)]
+        return found
+    trie: dict = {}
+    for w, searched, _ in rows:
+        if searched:
+            node = trie
+            for c in w:
+                node = node.setdefault(c, {})
+            node[""] = w
+    if not trie:
+        return []
+    return [(w, o, k) for w, _, searches in rows if searches for o, k in traverse(trie, w, bound(len(w), len(w), most) or 1) if o != w and k <= bound(len(w), len(o), most)]
+
+
 def neighbours(words: DataFrame, most: int = 2, into: DataFrame | None = None) -> DataFrame:
     """(word, other, edits): for each of ``words`` all words of ``into`` (``words`` themselves by default) within
     the bound: ``most`` edits from 9 letters on, one below."""
     wide = width(words.sparkSession)
 
+    def batch(rows: list[tuple], **columns: pa.DataType) -> pa.RecordBatch:
+        values = zip(*rows) if rows else [()] * len(columns)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, columns.values())], list(columns))
+
     def place(searched: bool, searches: bool):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                rows = [(s, w, a and searched, b and searches) for w in part["word"] for s, a, b in keys(w, most) if a and searched or b and searches]
-                yield pd.DataFrame(rows, columns=["shard", "word", "searched", "searches"])
+                rows = [(s, w, a and searched, b and searches) for w in part.column(0).to_pylist() for s, a, b in keys(w, most) if a and searched or b and searches]
+                yield batch(rows, shard=pa.string(), word=pa.string(), searched=pa.bool_(), searches=pa.bool_())
 
         return run
 
-    def search(rows: list[tuple[str, bool, bool]]) -> list[tuple[str, str, int]]:
-        trie: dict = {}
-        for w, searched, _ in rows:
-            if searched:
-                node = trie
-                for c in w:
-                    node = node.setdefault(c, {})
-                node[""] = w
-        if not trie:
-            return []
-        return [(w, o, k) for w, _, searches in rows if searches for o, k in traverse(trie, w, bound(len(w), len(w), most) or 1) if o != w and k <= bound(len(w), len(o), most)]
-
-    def sweep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sweep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shards one after another, sorted; a shard holds distinct words of one key only."""
+        kinds = {"word": pa.string(), "other": pa.string(), "edits": pa.int32()}
         now, held, out = None, [], []
         for part in parts:
-            for s, w, a, b in zip(part["shard"], part["word"], part["searched"], part["searches"]):
+            for s, w, a, b in zip(*[c.to_pylist() for c in part.columns]):
                 if s != now:
-                    out += search(held) if len(held) > 1 else []
+                    out += search(held, most) if len(held) > 1 else []
                     now, held = s, []
                 held.append((w, a, b))
             if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["word", "other", "edits"])
+                yield batch(out, **kinds)
                 out = []
-        out += search(held) if len(held) > 1 else []
-        yield pd.DataFrame(out, columns=["word", "other", "edits"])
+        out += search(held, most) if len(held) > 1 else []
+        yield batch(out, **kinds)
 
     schema = "shard string, word string, searched boolean, searches boolean"
     of = words.select("word").repartition(wide)
-    shards = of.mapInPandas(place(into is None, True), schema)
+    shards = of.mapInArrow(place(into is None, True), schema)
     if into is not None:
-        shards = shards.unionAll(into.select("word").repartition(wide).mapInPandas(place(True, False), schema))
-    found = shards.repartition(wide, "shard").sortWithinPartitions("shard").mapInPandas(sweep, "word string, other string, edits int")
+        shards = shards.unionAll(into.select("word").repartition(wide).mapInArrow(place(True, False), schema))
+    found = shards.repartition(wide, "shard").sortWithinPartitions("shard").mapInArrow(sweep, "word string, other string, edits int")
     # The middle key is searched one way only, so both ways are united where a list is joined with itself.
     both = found.unionAll(found.select(F.col("other").alias("word"), F.col("word").alias("other"), "edits")) if into is None else found
     return both.groupBy("word", "other").agg(F.min("edits").alias("edits"))

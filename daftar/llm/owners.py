@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from daftar.llm.names import compose, familiar, read_name, sounds_of, vocabulary
 from daftar.llm.places import NOWHERE, joined_places, placed_rows, read_address, rowwise, shipped, spellings
-from daftar.operators.components import stars, undirected
+from daftar.operators.components import gathered
 from daftar.runtime import cut, small, spread
 
 #: Expected owners beyond the one meant, up to which a name alone says who it is.
@@ -57,9 +57,13 @@ def records_of(tables: dict[str, DataFrame], columns: dict = CIVIC) -> DataFrame
     return reduce(DataFrame.unionAll, parts)
 
 
-def phone_key(cell):
-    """Ten digits of a mobile number in any notation; null for what is none."""
-    digits = F.regexp_replace(F.regexp_replace(cell, "[^0-9]+", ""), "^(?:0092|92|0)(?=3[0-9]{9}$)", "")
+def phone_digits(cell):
+    """Digits of a number without the prefix of its country or network."""
+    return F.regexp_replace(F.regexp_replace(cell, "[^0-9]+", ""), "^(?:0092|92|0)(?=3[0-9]{9}$)", "")
+
+
+def usable_phone(digits):
+    """Ten digits of a mobile number; null for what is none."""
     return F.when(digits.rlike("^3[0-9]{9}$") & ~digits.rlike(r"^3(\d)\1{8}$"), digits)
 
 
@@ -98,11 +102,12 @@ def described(records: DataFrame, short_names: DataFrame) -> DataFrame:
         return list(zip(*rows)) or [()] * 5
 
     read = rowwise(read, "kind", "names", "numbers", "words", "apart")
-    base = spread(records.select("record_id", "source", "name", "address", "phone"))
-    read_rows = base.select("record_id", "source", F.xxhash64("name").alias("text"), phone_key(F.col("phone")).cast("bigint").alias("phone"), read("name", "address").alias("r"))
+    # Digits are a column of their own, so that they are made once a row.
+    base = spread(records.select("record_id", "source", "name", "address", phone_digits(F.col("phone")).alias("digits")))
+    read_rows = base.select("record_id", "source", F.xxhash64("name").alias("text"), usable_phone(F.col("digits")).cast("bigint").alias("phone"), read("name", "address").alias("r"))
     rows = cut(read_rows.select("record_id", "source", "text", "phone", "r.*").filter("kind is not null"))
     roots = spellings(rows)
-    known = vocabulary(rows, short)
+    known = cut(vocabulary(rows, short))
     words, spelt = shipped(known, "word", "root", "given", "n"), shipped(roots, "word", "root", "implied")
     if words is None or spelt is None:
         out = joined_places(joined_forms(rows, known), roots)
@@ -156,6 +161,12 @@ def _blocks():
 FULL = r"^[^|]+\|$"
 
 
+def given_names(form):
+    """How many given names, or words of trade, a form has."""
+    given = F.substring_index(form, "|", 1)
+    return F.when(given == "", 0).otherwise(F.length(given) - F.length(F.translate(given, "+", "")) + 1)
+
+
 def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
     """Spread full names over short forms until nothing changes. ``people``: node, surname, form, phone, place, family.
 
@@ -165,14 +176,18 @@ def resolve_forms(people: DataFrame, rounds: int = 200) -> DataFrame:
     form is replaced by one with more given names or fewer initials, so it ends. Raises if it isn't stable
     after ``rounds``."""
     at = cut(people.select("node", "form", F.explode(_blocks()).alias("x")).select("node", "form", "x.block", "x.k"))
-    # Where one form only is met nothing can be taken, and what comes in later looks the block up again.
-    several = cut(at.groupBy("block").agg(F.min("form").alias("a"), F.max("form").alias("b")).filter("a <> b").select("block"))
+    # A short form has fewer given names than what it stands for. Where all forms have as many, nothing can be taken, and
+    # what comes in later looks the block up again.
+    names = F.when(F.col("form") == "#org|", 0).otherwise(given_names(F.col("form")))
+    several = cut(at.groupBy("block").agg(F.min(names).alias("a"), F.max(names).alias("b")).filter("a < b").select("block"))
     current = cut(at.join(small(several), "block", "left_semi"))
     changed = None
     for _ in range(rounds):
         met = current.select("block", "form").distinct()
         fulls = met.filter(F.col("form").rlike(FULL))
-        variants = fulls.select("block", F.col("form").alias("full"), F.explode(shorter(F.col("form"))).alias("form"))
+        # Worked out once for each form, however many blocks it is met in.
+        shorts = cut(current.filter(F.col("form").rlike(FULL)).select(F.col("form").alias("full")).distinct().select("full", shorter(F.col("full")).alias("forms")))
+        variants = fulls.withColumnRenamed("form", "full").join(small(shorts), "full").select("block", "full", F.explode("forms").alias("form"))
         fits = cut(met.select(F.xxhash64("block", "form").alias("key"), "block", "form").join(variants.select(F.xxhash64("block", "form").alias("key"), "full"), "key"))
         # A full name that is short for another one of its block stands back.
         inner = fits.filter(F.col("form").rlike(FULL)).select("block", F.col("form").alias("full"))
@@ -239,8 +254,8 @@ def owner_ids(records: DataFrame, short_names: DataFrame, chance: float = CHANCE
     links = F.array_compact(F.array(F.when(F.col("phone").isNotNull(), by_phone), F.when(F.col("place").isNotNull(), by_place), F.when(alone, F.xxhash64(F.lit("s"), "surname", "form"))))
     linked = cut(weighted.select("node", F.xxhash64("surname", "form").alias("named"), links.alias("links")))
     # The attributes themselves are what is connected: a node with two of them ties them together.
-    ties = linked.filter(F.size("links") > 1).select(F.explode(F.transform(F.sequence(F.lit(2), F.size("links")), lambda i: F.struct(F.element_at("links", i - 1).alias("a"), F.element_at("links", i).alias("b")))).alias("t")).select("t.*")
-    labels = stars(undirected(ties, "a", "b"))
+    ties = linked.filter(F.size("links") > 1).select("named", F.explode(F.transform(F.sequence(F.lit(2), F.size("links")), lambda i: F.struct(F.element_at("links", i - 1).alias("a"), F.element_at("links", i).alias("b")))).alias("t")).select("named", "t.*")
+    labels = gathered(ties, "a", "b", "named")
     first = linked.select("node", "named", F.try_element_at("links", F.lit(1)).alias("u")).join(small(labels), "u", "left")
     owners = cut(first.select("node", "named", F.coalesce("v", "u", "node").alias("owner")))
     return rows.join(small(owners), "node").select("record_id", "source", "text", "phone", "place", "named", "owner")

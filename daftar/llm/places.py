@@ -407,7 +407,7 @@ def shipped(known: DataFrame, *columns: str) -> dict | None:
     size = known.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct(*columns)))), F.lit(0))).first()[0]
     if size > min(BROADCAST_LIMIT, SHIPPED):
         return None
-    return {r[0]: tuple(r[1:]) for r in known.select(*columns).toLocalIterator()}
+    return {r[0]: r[1:] for r in zip(*[c.to_pylist() for c in known.select(*columns).toArrow().columns])}
 
 
 #: Bytes of spellings that may be shipped to every worker, beside the limit of the runtime.

@@ -4,14 +4,21 @@ Every round lets each vertex learn the smallest neighbour and rewires its edges
 shrink by a constant factor per round instead of one hop. A round is two shuffles over edges; edges of
 hubs are combined by partial aggregation before they move, and adaptive execution splits the join side
 of a hub. State is written to the checkpoint folder after each round.
+
+Where a column is known by which most edges of a component can be kept together (``gathered``), each partition
+connects its own first, and the rounds run over what partitions have in common.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daftar.runtime import cut
+from daftar.runtime import cut, small, width
 
 
 def undirected(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -51,6 +58,57 @@ def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components aren't stable after {rounds} rounds")
 
 
+#: Edges of a partition that are connected at once; more go in pieces.
+PIECE = 1 << 21
+
+
+def connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of the edges (a, b) and the smallest vertex that each is connected with: roots are hooked to smaller
+    ones and paths shortened until nothing changes."""
+    vertices, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(vertices))
+    one, two = at[: len(a)], at[len(a) :]
+    while len(one):
+        x, y = root[one], root[two]
+        open_ = x != y
+        one, two, x, y = one[open_], two[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return vertices, vertices[root]
+
+
+def gathered(pairs: DataFrame, left: str, right: str, by: str) -> DataFrame:
+    """(u, v) as ``stars(undirected(pairs))`` gives them, for 64-bit ids; ``by``: a column by which pairs of a component
+    mostly agree. It decides how much is left to the rounds, not what is connected."""
+
+    def connect(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for part in parts:
+            held.append([c.to_numpy() for c in part.columns])
+            n += part.num_rows
+            if n >= PIECE:
+                yield piece(held)
+                held, n = [], 0
+        if n:
+            yield piece(held)
+
+    def piece(held: list) -> pa.RecordBatch:
+        u, v = connected(*[np.concatenate(c) for c in zip(*held)])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    a, b = F.col(left), F.col(right)
+    edges = pairs.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("a"), b.alias("b"), by)
+    own = cut(edges.repartition(width(pairs.sparkSession), by).select("a", "b").mapInArrow(connect, "u long, v long"))
+    met = cut(own.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("last")))
+    # A vertex of several partitions ties the smallest of each.
+    shared = cut(met.filter("v < last").select("u", F.col("v").alias("least")))
+    ties = own.join(small(shared), "u").select(F.col("v").alias("a"), F.col("least").alias("b"))
+    labels = stars(undirected(ties, "a", "b"))
+    out = met.select("u", "v").join(small(labels).select(F.col("u").alias("v"), F.col("v").alias("label")), "v", "left")
+    return cut(out.select("u", F.coalesce("label", "v").alias("v")).filter("u <> v"))
+
+
 def components(nodes: DataFrame, pairs: DataFrame, node: str, left: str, right: str) -> DataFrame:
     """``node`` and ``component`` (the smallest id linked to it, itself if there is none) of each row of
     ``nodes``; rows that repeat stay repeated. Ends of pairs that are no node still connect."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daftar.llm import names, owners, places
-from daftar.runtime import table
+from daftar.runtime import cut, table
 
 WAYS = [
     "House 194, Lalazar Road, Kogedita Colony, Islamabad", "194 - Lalazar Road - Kogedita Colony - Islamabd", "KOGEDITA COLONY LALAZAR RAOD H-194 ISLAMABAD", "مکان ۱۹۴، Lalazar Road.، Kogedita Col، اسلام آباد",
@@ -79,6 +79,26 @@ def test_trie_join_finds_all_neighbours(spark):
     assert not missing and all(places.edits(*p) == k for p, k in got.items())
 
 
+def test_one_edit_is_found_without_a_trie(monkeypatch):
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(400)})
+    monkeypatch.setattr(names, "traverse", None)
+    got = names.search([(w, i % 3 > 0, i % 5 > 0) for i, w in enumerate(words)], 1)
+    right = {(a, b, 1) for i, a in enumerate(words) for j, b in enumerate(words) if i % 5 and j % 3 and a != b and min(len(a), len(b)) > 2 and places.edits(a, b) == 1}
+    assert len(got) == len(set(got)) and set(got) == right and len(right) > 300
+
+
+def test_blocks_of_equally_long_names_are_not_looked_at(spark, monkeypatch):
+    """What has as many given names can't stand for each other; before, such blocks were joined as others."""
+    read = []
+    monkeypatch.setattr(owners, "cut", lambda df, **k: read.append(cut(df, **k)) or read[-1])
+    at = [(1, "khan", "amina|", 1), (2, "khan", "nigat|", 1), (3, "khan", "#org|", 2), (4, "khan", "#mills|", 2), (5, "khan", "|n", 3), (6, "khan", "nigat|", 3), (7, "khan", "ali+nigat|", 4), (8, "khan", "|a+n", 4)]
+    people = spark.createDataFrame(at, "node long, surname string, form string, phone long").withColumn("place", F.lit(None).cast("long")).withColumn("family", F.lit(False))
+    full = {r["node"]: r["form"] for r in owners.resolve_forms(people).collect()}
+    assert full == {1: "amina|", 2: "nigat|", 3: "#mills|", 4: "#mills|", 5: "nigat|", 6: "nigat|", 7: "ali+nigat|", 8: "ali+nigat|"}
+    assert read[1].columns == ["block"] and read[1].count() == 3
+
+
 def test_two_edits(spark):
     words = ["sukusavalini", "sukusavalni", "sukusvalin", "usukasavalini", "sukusavalinixx"]
     got = {(r["word"], r["other"]): r["edits"] for r in names.neighbours(spark.createDataFrame([(w,) for w in words], "word string"), 2).collect()}

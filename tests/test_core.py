@@ -299,3 +299,19 @@ def test_rejects_are_scored_in_full(spark, monkeypatch):
     monkeypatch.setattr(resolve, "candidate_pairs", lambda _: spark.createDataFrame([("x:1", "x:2")], "left_id string, right_id string"))
     (got,) = registry.queries()["pair_scores"](spark, "").collect()
     assert (got["decision"], got["address_score"]) == ("reject", 1.0) and "addresses agree" in got["reasons"]
+
+
+def test_gathered_pairs_are_connected_as_by_stars(spark, monkeypatch):
+    """Partitions connect their own pairs; the rounds get only what several partitions have in common."""
+    rng = random.Random(5)
+    pairs = [(c * 1000 + i, c * 1000 + rng.randrange(i), c) for c in range(40) for i in range(1, 60)]
+    pairs += [(-(i + 1), -i, i % 7) for i in range(1, 90)] + [(5, 5, 0), (None, 7, 1), (2003, 7004, 3), (2003, 7004, 8)]
+    df = spark.createDataFrame(pairs, "a long, b long, c int")
+    right = {(r["u"], r["v"]) for r in components.stars(components.undirected(df, "a", "b")).collect()}
+    seen, stars = [], components.stars
+    monkeypatch.setattr(components, "stars", lambda edges: seen.append(edges.count()) or stars(edges))
+    got = [(r["u"], r["v"]) for r in components.gathered(df, "a", "b", "c").collect()]
+    assert len(got) == len(set(got)) and set(got) == right and seen[0] < 120
+    monkeypatch.setattr(components, "PIECE", 1)
+    assert {(r["u"], r["v"]) for r in components.gathered(df, "a", "b", "c").collect()} == right
+    assert components.gathered(df.limit(0), "a", "b", "c").count() == 0
