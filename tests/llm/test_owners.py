@@ -211,6 +211,15 @@ def test_repeated_and_null_ids_keep_their_forms(spark, short, monkeypatch, shipp
     assert got == [("rutasudi", "javad|"), ("sukusavali", "javad|"), ("sukusavali", "javad|"), ("sukusavali", "kiran|")]
 
 
+def test_vocabularies_are_worked_out_once(spark, short, monkeypatch):
+    """What is measured and then shipped is a table, not a plan that would run for both."""
+    asked, shipped = [], owners.shipped
+    monkeypatch.setattr(owners, "shipped", lambda known, *columns: asked.append(known) or shipped(known, *columns))
+    df = spark.createDataFrame([("t:1", "tax", "Jawad Sukusavali", WAYS[0], "0092-393-3548454"), ("t:2", "tax", "Kiran Rutasodi", None, "039"), ("t:3", "tax", "Kiran Rutasodi", None, "03333333333")], "record_id string, source string, name string, address string, phone string")
+    assert {r["record_id"]: r["phone"] for r in owners.described(df, short).collect()} == {"t:1": 3933548454, "t:2": None, "t:3": None}
+    assert [type(k).__name__ for k in asked] == ["DataFrame"] * 2 and all(hasattr(k, "_cut_folder") for k in asked)
+
+
 def test_owners_of_a_surname_are_counted_exactly(spark):
     of = {f"s{i}": 150 * i for i in range(12)}
     rows = [(s, p) for s, n in of.items() for p in (*range(n), *range(n // 2), None)]
