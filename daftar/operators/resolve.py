@@ -193,7 +193,8 @@ OPEN = 71.9
 
 
 def matches(prints: DataFrame) -> DataFrame:
-    """(left_id, right_id, decision): the candidates that ``compare`` calls a match.
+    """(left_id, right_id, decision): the candidates that ``compare`` calls a match. Only what they connect is in
+    ``links``, which writes no pairs.
 
     What can't be one is left early: by the letters that two addresses have in common, which bound their score, then by
     the exact score of the names. Names and addresses are compared once for each two distinct ones."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar.functions import text as T
-from daftar.operators import components, graph, ingest, resolve, scores
+from daftar.operators import components, graph, ingest, links, resolve, scores
 from daftar.plans import sqltext as S
 from daftar.runtime import cut, table
 from daftar.sources import rejects
@@ -273,7 +273,7 @@ def numbered_clusters(spark, d):
 def entities(spark, d):
     """Entities by pair scoring over the fingerprints: name, size, addresses, phones."""
     prints = cut(_prints(spark, d))
-    found = resolve.entities(prints, resolve.clusters(prints, resolve.matches(prints)))
+    found = resolve.entities(prints, links.clusters(prints))
     return found.select("entity_id", "canonical_name", "size", F.array_join("addresses", " | ").alias("addresses"), F.array_join("phones", " | ").alias("phones"))
 
 

@@ -6,12 +6,14 @@ from decimal import ROUND_HALF_EVEN, Decimal
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from daftar.functions import text as T
 from daftar.functions.similarity import letters, letters_bound, ratios, sequence_score
-from daftar.operators import components, graph, ingest, resolve, scores
+from daftar.operators import components, graph, ingest, links, resolve, scores
 from daftar.plans import registry
 
 
@@ -315,3 +317,60 @@ def test_gathered_pairs_are_connected_as_by_stars(spark, monkeypatch):
     monkeypatch.setattr(components, "PIECE", 1)
     assert {(r["u"], r["v"]) for r in components.gathered(df, "a", "b", "c").collect()} == right
     assert components.gathered(df.limit(0), "a", "b", "c").count() == 0
+
+
+def test_entities_are_linked_without_their_pairs(spark, monkeypatch):
+    """What is connected is what all matches connect, with blocks in pieces, common phones, repeated and missing ids, names
+    without words and in turned order; no pair of candidates is made or written."""
+    rng = random.Random(8)
+    names = ["ali khan", "amir khan", "khan ali", "alya khan", "m ali raza", "muhammad ali raza", "raza ali muhammad", "sara sara", "ali", "mr", "", None]
+    places = ["h 12 canal rd lahore", "h 13 canal rd lahore", "h 12 canal view rd", "flt 9 st 2 multan", "flt 9 st 2 col multan", "x" * 70 + " 5", "x" * 70 + " 6", "", None]
+    ids = [None, *[f"r:{i}" for i in range(230)]]
+    rows = [(rng.choice(ids), rng.choice(names), *rng.choices(("", None, "1", "2", "3", f"9{i}"), (4, 2, 1, 1, 1, 9)), rng.choice(("lahore", "multan", "", None)), rng.choice(("12 canal", "", None)), rng.choice(places)) for i in range(260)]
+    prints = spark.createDataFrame(rows, "record_id string, norm_name string, phone string, city string, block_key string, norm_address string").cache()
+    pairs = [(r["left_id"], r["right_id"]) for r in resolve.matches(prints).collect()]
+    nodes = sorted({r[0] for r in rows if r[0]})
+    hand = hand_components(nodes, pairs)
+    monkeypatch.setattr(resolve, "candidates", None)
+    got = {r["record_id"]: r["component"] for r in links.clusters(prints).collect()}
+    assert sorted(got) == nodes and len({(got[n], hand[n]) for n in nodes}) == len(set(got.values())) == len(set(hand.values())) > 20
+    first = {c: min(n for n in nodes if got[n] == c) for c in got.values()}
+    assert sorted(first, key=first.get) == sorted(first)
+    assert registry.queries()["entities"](spark, "/root/testdata/sf0.001").count() > 20
+    assert links.clusters(prints.limit(0)).count() == 0
+
+
+def test_least_address_is_where_a_match_begins(spark):
+    rng = random.Random(5)
+    rows = [(n, c, p, s) for n in [0.3, 0.415, 0.72, 0.88, 1.0, *[rng.random() for _ in range(40)]] for c in (True, False) for p in (True, False) for s in (True, False)]
+    for name, close, city, phone in rows:
+        least = links.least_address(name, close, city, phone)
+        assert least == 2.0 or links._score(name, least, close, city, phone) >= links.MATCH
+        assert least == 0.0 or links._score(name, min(1.0, math.nextafter(least, 0)), close, city, phone) < links.MATCH
+    cells = [(*r, a) for r in rows for a in [0.0, 0.7, 0.82, 0.86, 0.9, 1.0, rng.random()]]
+    df = spark.createDataFrame(cells, "name double, close boolean, city boolean, phone boolean, address double")
+    flags = {"phone": F.col("phone"), "city": F.col("city"), "surname": F.col("close"), "first": F.col("close"), "initials": F.col("close")}
+    score = resolve._score(F.col("name"), F.col("address"), flags)
+    for r in df.select("*", score.alias("score"), (T.round_half_even(score, 1) >= 72).alias("match")).collect():
+        assert r["score"] == links._score(r["name"], r["address"], r["close"], r["city"], r["phone"])
+        assert r["match"] == (r["address"] >= links.least_address(r["name"], r["close"], r["city"], r["phone"]))
+
+
+def test_pieces_and_more_addresses_than_are_kept_give_the_same(monkeypatch):
+    rng = random.Random(6)
+    rows = [(2, "12 canal", "", i, i, n, n, f"h {rng.randint(1, 40)} {rng.choice(('canal', 'mall', 'kanal'))} rd", rng.choice(("lahore", ""))) for i, n in enumerate(rng.choices(["ali khan", "alya khan", "khan ali", "amir khan", "ali kahn"], k=150))]
+    names = ["k", "x", "y", "number", "label", "norm_name", "words", "norm_address", "city"]
+    table = pa.table({n: list(c) for n, c in zip(names, zip(*rows))})
+    family = table.filter(pc.equal(table["norm_name"], "ali khan"))
+
+    def found():
+        for x in (links._PLACES, links._APART):
+            x.__init__()
+        met = links.connected(*[np.concatenate(c) for c in zip(*links._met(table))])
+        return [c.tolist() for c in (*met, *links._family(family, family["number"].combine_chunks().to_numpy()))]
+
+    whole = found()
+    monkeypatch.setattr(links, "AT_ONCE", 97)
+    monkeypatch.setattr(links, "PIECE", 10)
+    monkeypatch.setattr(links, "KEPT", 20)
+    assert found() == whole and len(whole[0]) > 50 and len(whole[2]) > 10
